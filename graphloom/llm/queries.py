@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import source_filter
+from graphloom.llm import sentences, source_filter
 from graphloom.session import table
 
 QUERIES: dict = {}
@@ -45,3 +45,11 @@ select distinct repo_id, folder from (
 )
 def p4_excluded(spark, d):
     return source_filter.excluded_folders(table(spark, d, "repo_configs"))
+
+
+# ---------------------------------------------------------------- 8 sentences
+
+
+@query("p8_found")
+def p8_found(spark, d):
+    return sentences.sentences(table(spark, d, "documents"))
