@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import sentences, source_filter
+from graphloom.llm import leakage, packing, sentences, source_filter
 from graphloom.session import table
 
 QUERIES: dict = {}
@@ -47,6 +47,34 @@ def p4_excluded(spark, d):
     return source_filter.excluded_folders(table(spark, d, "repo_configs"))
 
 
+# ---------------------------------------------------------------- 6 packing
+
+
+@query("p6_packing")
+def p6_packing(spark, d):
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+@query("p6_report")
+def p6_report(spark, d):
+    placed = packing.pack(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+    return packing.fill_report(placed, table(spark, d, "pack_sizes"))
+
+
+# ---------------------------------------------------------------- 7 leakage
+
+
+@query("p7_found")
+def p7_found(spark, d):
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p7_report")
+def p7_report(spark, d):
+    items = table(spark, d, "eval_items")
+    return leakage.leak_report(leakage.leaked_items(table(spark, d, "documents"), items), items)
+
+
 # ---------------------------------------------------------------- 8 sentences
 
 

@@ -196,7 +196,7 @@ class _Unit:
         return any(c.isalnum() for c in self.text[began:at])
 
     def _line_break(self, a: int, b: int, began: int) -> int | None:
-        before = next((c for c in reversed(self.text[began:a]) if c.isalnum()), "x")
+        before = next((c for c in reversed(self.text[max(began, a - 40) : a]) if c.isalnum()), "x")
         behind = next((c for c in self.text[b : min(self.end, b + 40)] if c.isalnum()), "x")
         return a if self.dense or spaceless(before) or spaceless(behind) else None
 
@@ -210,7 +210,7 @@ class _Unit:
             return None
         if text[b] in _CLOSING and text[b] not in _PAIRS and text[b] not in "\"'" or text[b] in _JOINING or _TERMINATOR.match(text, b) or text[a - 1] in _PAIRS:
             return None
-        if not any(map(thai, text[began:a])) and not self.dense:
+        if not any(map(thai, text[max(began, a - 80) : a])) and not self.dense:
             return None
         return None if thai(text[b]) and _word_behind(text, b) in OPENING_ON else a
 
@@ -288,7 +288,7 @@ class _Unit:
         if low in NEVER:
             return True
         if word.isdigit() and len(word) <= 2:
-            before = text[began:i].split()
+            before = text[max(began, i - 24) : i].split()
             following = re.match(r"\w*", text[n : n + 20]).group().lower()
             return following in _MONTHS or bool(before) and before[-1].lower() in _ARTICLES and nxt.isalpha()
         return False
