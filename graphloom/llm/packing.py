@@ -145,7 +145,7 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
             for b in way:
                 a[row[b], j] += 1
         counts = np.array([sum(left[s] for s in bins[b]) for b in sorted(bins)], float)
-        for way, times in zip(ways, np.floor(nnls(a, counts) + 1e-6).astype(int)):
+        for way, times in zip(ways, np.floor(nnls(a, counts) + 1e-6).astype(int).tolist()):
             while times > 0:  # real sizes of the bins, in runs of equal ones
                 chosen: dict[int, int] = {}
                 for b in way:
