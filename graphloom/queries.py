@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import hierarchy, hot_keys, shred, snapshots
+from graphloom import config, pattern
+from graphloom.extract import frames
+from graphloom.functions import paths
+from graphloom.graph import CodeGraph, graph_meta
+from graphloom.operators import closure, hierarchy, hot_keys, lookup, modules, shred, snapshots
+from graphloom.operators.paging import Options, with_total
+from graphloom.plans import resolve
 from graphloom.session import table
+from graphloom.sources import walk
+from graphloom.storage import materialize
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -123,3 +131,279 @@ def p5_paths(spark, d):
 @query("p5_below")
 def p5_below(spark, d):
     return hierarchy.descendants(_hierarchy(spark, d))
+
+
+# ---------------------------------------------------------------- the code graph of the test tables
+
+
+def code_graph(spark, d) -> CodeGraph:
+    """Functions by their latest row and calls by theirs; a call's ends are looked up by repository, build and
+    qualified name, the last function of a name counting. Whole tables, parallel edges kept."""
+    rows = table(spark, d, "functions").where(F.col("fn_id").isNotNull())
+    columns = [c for c in rows.columns if c != "fn_id"]
+    fn = rows.groupBy("fn_id").agg(F.max_by(F.struct(*columns), F.struct("loaded_at", "collected_at")).alias("r")).select(F.col("fn_id").alias("node_id"), "r.*")
+    ids = fn.groupBy("repo_id", "build_no", "qualified_name").agg(F.max("node_id").alias("id"))
+    calls = table(spark, d, "call_edges").where(F.col("call_id").isNotNull()).select("call_id", "repo_id", "build_no", "caller_qualified", "callee_qualified", "label", "loaded_at", "seen_at")
+    once = calls.groupBy("call_id").agg(F.max_by(F.struct("repo_id", "build_no", "caller_qualified", "callee_qualified", "label"), F.struct("loaded_at", "seen_at")).alias("r"))
+    edges = (
+        once.select(F.col("call_id").alias("edge_id"), "r.*")
+        .join(ids.select("repo_id", "build_no", F.col("qualified_name").alias("caller_qualified"), F.col("id").alias("src")), ["repo_id", "build_no", "caller_qualified"])
+        .join(ids.select("repo_id", "build_no", F.col("qualified_name").alias("callee_qualified"), F.col("id").alias("dst")), ["repo_id", "build_no", "callee_qualified"])
+        .select("edge_id", "src", "dst", "label")
+    )
+    return CodeGraph.with_defaults(fn, edges)
+
+
+GRAPH_SQL = """
+with recursive fn as (select fn_id as node_id, * exclude (fn_id, is_test), coalesce(is_test, false) as is_test from (
+  select *, row_number() over (partition by fn_id order by loaded_at desc nulls last, collected_at desc nulls last) as rn from functions where fn_id is not null) where rn = 1),
+ids as (select repo_id, build_no, qualified_name, max(node_id) as id from fn group by all),
+ce as (select * from (select *, row_number() over (partition by call_id order by loaded_at desc nulls last, seen_at desc nulls last) as rn from call_edges where call_id is not null) where rn = 1),
+e as (select ce.call_id as edge_id, s.id as src, t.id as dst, ce.label as label from ce
+  join ids s on s.repo_id = ce.repo_id and s.build_no = ce.build_no and s.qualified_name = ce.caller_qualified
+  join ids t on t.repo_id = ce.repo_id and t.build_no = ce.build_no and t.qualified_name = ce.callee_qualified
+  where ce.label = 'CALLS'),
+one as (select node_id from fn where name = '{name}' order by file nulls first, start_line nulls first, node_id limit 1)
+"""
+INFO_SQL = "node_id, name, qualified_name, file, start_line, end_line, module, exported, is_test"
+NAME = "handle"
+
+
+def _shown(df):
+    return df.select("node_id", "name", "qualified_name", "file", "start_line", "end_line", "module", "exported", "is_test")
+
+
+def graph_query(name: str, select: str, **names):
+    sql = GRAPH_SQL.replace("{name}", names.get("target", NAME)) + select
+
+    def add(f):
+        return query(name, sql)(lambda spark, d: f(code_graph(spark, d)))
+
+    return add
+
+
+_F = ", ".join(f"fn.{c.strip()}" for c in INFO_SQL.split(","))
+graph_query("callers", f"select {_F} from e join one on e.dst = one.node_id join fn on fn.node_id = e.src")(lambda g: _shown(lookup.callers(g, NAME)))
+graph_query("callers_homonym", f"select {_F} from e join one on e.dst = one.node_id join fn on fn.node_id = e.src", target="get")(lambda g: _shown(lookup.callers(g, "get")))
+graph_query("contract", f"select {_F}, fn.contract, fn.contract_completeness from fn join one using (node_id)")(
+    lambda g: lookup.contract(g, NAME).select("node_id", "name", "qualified_name", "file", "start_line", "end_line", "module", "exported", "is_test", "contract", "contract_completeness")
+)
+graph_query("breaks", f"select {_F} from e join one on e.dst = one.node_id join fn on fn.node_id = e.src")(lambda g: _shown(lookup.breaks(g, NAME)))
+graph_query("test_coverage", f"select {_F} from e join one on e.dst = one.node_id join fn on fn.node_id = e.src where fn.is_test")(lambda g: _shown(lookup.test_coverage(g, NAME)))
+graph_query("entry_points", f"select {_F} from fn where not exists (select 1 from e where e.dst = fn.node_id)")(lambda g: _shown(lookup.entry_points(g)))
+graph_query("exports", f"select {_F} from fn where module = 'auth' and exported and not is_test")(lambda g: _shown(lookup.exports(g, "auth")))
+graph_query("domain", f"select {_F} from fn where module = 'auth'")(lambda g: _shown(lookup.domain(g, "auth")))
+graph_query("domains", "select module, count(*) as functions from fn where module <> '' group by module")(lambda g: modules.domains(g))
+graph_query(
+    "coupling",
+    "select a.module as from_module, b.module as to_module, count(*) as edges from e join fn a on a.node_id = e.src join fn b on b.node_id = e.dst where a.module <> b.module and a.module <> '' and b.module <> '' group by all",
+)(lambda g: modules.coupling(g))
+graph_query("untested", f"select {_F} from fn where not is_test and not exists (select 1 from e join fn t on t.node_id = e.src and t.is_test where e.dst = fn.node_id)")(lambda g: _shown(lookup.untested(g)))
+
+for _depth in (1, 3, 5):
+    graph_query(
+        f"impact_d{_depth}",
+        f""", reach(node_id, depth) as (select node_id, 0 from fn where name = '{NAME}'
+  union select e.src, reach.depth + 1 from reach join e on e.dst = reach.node_id where reach.depth < {_depth})
+select distinct fn.qualified_name from reach join fn using (node_id) where reach.depth > 0""",
+    )(lambda g, n=_depth: closure.impact(g, NAME, n).select("qualified_name"))
+graph_query(
+    "callees_d2",
+    f""", reach(node_id, depth) as (select node_id, 0 from fn where name = '{NAME}'
+  union select e.dst, reach.depth + 1 from reach join e on e.src = reach.node_id where reach.depth < 2)
+select distinct fn.qualified_name from reach join fn using (node_id) where reach.depth > 0""",
+)(lambda g: closure.callees(g, NAME, 2).select("qualified_name"))
+
+_PAGE_SQL = "select t.node_id, t.name, (select count(*) from fn) as total_count from (select node_id, name from fn order by name nulls first, node_id limit {limit} offset {offset}) t"
+for _page, _options in {"page_first": Options(50, 0), "page_mid": Options(50, 1200), "page_past_end": Options(50, 100_000_000)}.items():
+    graph_query(_page, _PAGE_SQL.format(limit=_options.limit, offset=_options.offset))(
+        lambda g, o=_options: with_total(g.functions.select("node_id", "name"), ["name", "node_id"], o)
+    )
+graph_query(
+    "graph_summary",
+    """select (select count(*) from (select distinct module from fn where module <> '')) as n_modules, (select count(*) from fn where module <> '') as total_functions, (select count(*) from e) as total_edges,
+  (select count(*) from fn where not is_test and not exists (select 1 from e join fn t on t.node_id = e.src and t.is_test where e.dst = fn.node_id)) as untested_count""",
+)(lambda g: modules.graph_summary(g).select(F.size("modules").cast("long").alias("n_modules"), "total_functions", "total_edges", "untested_count"))
+graph_query(
+    "coverage_pct",
+    """, n as (select count(*) as n_functions, count(*) filter (where not exists (select 1 from e join fn t on t.node_id = e.src and t.is_test where e.dst = fn.node_id)) as n_untested from fn where not is_test)
+select n_functions, n_untested, 100.0::double * (n_functions - n_untested) / n_functions as coverage_pct from n""",
+)(lambda g: modules.coverage_percent(g))
+graph_query(
+    "domain_edges",
+    """, m as (select a.module as f, b.module as t from e join fn a on a.node_id = e.src join fn b on b.node_id = e.dst where a.module <> '' and b.module <> '')
+select module, count(*) as functions, (select count(*) from m where f = module and t = module) as internal_edges, (select count(*) from m where f <> t and (f = module or t = module)) as cross_edges
+from fn where module <> '' group by module""",
+)(lambda g: modules.domain_edges(g))
+graph_query(
+    "cohesion",
+    """select a.module as module, count(*) filter (where a.module = b.module) / count(*) as cohesion from e join fn a on a.node_id = e.src join fn b on b.node_id = e.dst
+where a.module <> '' and b.module <> '' group by a.module""",
+)(lambda g: modules.cohesion(g))
+graph_query("contract_coverage", "select contract_completeness, count(*) as functions from fn group by contract_completeness")(lambda g: modules.contract_coverage(g.functions))
+graph_query("node_edge_counts", "select (select count(*) from fn) as nodes, (select count(*) from e) as edges")(
+    lambda g: g.functions.agg(F.count(F.lit(1)).alias("nodes")).withColumn("k", F.lit(1)).join(g.edges.agg(F.count(F.lit(1)).alias("edges")).withColumn("k", F.lit(1)), "k").drop("k")
+)
+graph_query(
+    "subgraph",
+    f""", reach(node_id, depth) as (select node_id, 0 from fn where name = '{NAME}'
+  union select e.src, reach.depth + 1 from reach join e on e.dst = reach.node_id where reach.depth < 2)
+select 'center' as part, fn.qualified_name from fn join one using (node_id)
+union all select 'callers', fn.qualified_name from e join one on e.dst = one.node_id join fn on fn.node_id = e.src
+union all select distinct 'callees', fn.qualified_name from reach join fn using (node_id) where reach.depth > 0""",
+)(
+    lambda g: lookup.contract(g, NAME).select(F.lit("center").alias("part"), "qualified_name")
+    .unionByName(lookup.callers(g, NAME).select(F.lit("callers").alias("part"), "qualified_name"))
+    .unionByName(closure.impact(g, NAME, 2).select(F.lit("callees").alias("part"), "qualified_name"))
+)
+QUERIES["communities"] = lambda spark, d: modules.communities(code_graph(spark, d))
+
+# ---------------------------------------------------------------- graph patterns
+
+_PATTERNS = {
+    "cy_node_props": ("MATCH (f:Function {name: 'handle', exported: true}) RETURN f.node_id AS node_id, f.name AS name", "select node_id, name from fn where name = 'handle' and exported"),
+    "cy_any_label_limit": ("MATCH (f {name: 'handle'}) RETURN f.name AS name LIMIT 3", "select name from fn where name = 'handle' limit 3"),
+    "cy_project": ("MATCH (f:Function) RETURN f.name AS name, f.module AS module", "select name, module from fn"),
+    "cy_hop": (
+        "MATCH (a:Function {name: 'handle'})-[:CALLS]->(b:Function {exported: true}) RETURN a.node_id AS a, b.node_id AS b",
+        "select a.node_id as a, b.node_id as b from e join fn a on a.node_id = e.src join fn b on b.node_id = e.dst where a.name = 'handle' and b.exported",
+    ),
+    "cy_imports": ("MATCH (a)-[:IMPORTS]->(b) RETURN a.name AS a, b.name AS b", "select a.name as a, b.name as b from e join fn a on a.node_id = e.src join fn b on b.node_id = e.dst where e.label = 'IMPORTS'"),
+    "cy_edge_var": (
+        "MATCH (a)-[e:CALLS]->(b {name: 'handle'}) RETURN a.name AS caller, e.edge_id AS edge_id, e.label AS label",
+        "select a.name as caller, e.edge_id, e.label from e join fn a on a.node_id = e.src join fn b on b.node_id = e.dst where b.name = 'handle'",
+    ),
+    "cy_var_length": (
+        "MATCH (a {name: 'describe'})-[:CALLS*1..2]->(b) RETURN DISTINCT a.node_id AS a, b.node_id AS b",
+        """select distinct a, b from (select e.src as a, e.dst as b from e union all select x.src, y.dst from e x join e y on y.src = x.dst where y.edge_id <> x.edge_id) p
+  join fn on fn.node_id = p.a where fn.name = 'describe'""",
+    ),
+    "cy_var_length_2": (
+        "MATCH (a {name: 'describe'})-[:CALLS*2..2]->(b) WHERE b.exported = true RETURN a.node_id AS a, b.node_id AS b",
+        "select x.src as a, y.dst as b from e x join e y on y.src = x.dst and y.edge_id <> x.edge_id join fn a on a.node_id = x.src join fn b on b.node_id = y.dst where a.name = 'describe' and b.exported",
+    ),
+    "cy_where": ("MATCH (f:Function) WHERE f.module = 'auth' AND f.start_line > 100 RETURN f.node_id AS node_id", "select node_id from fn where module = 'auth' and start_line > 100"),
+    "cy_where_not": ("MATCH (f:Function) WHERE f.receiver <> 'Task' RETURN f.node_id AS node_id", "select node_id from fn where receiver is distinct from 'Task'"),
+    "cy_order_limit": (
+        "MATCH (f:Function) WHERE f.name IS NOT NULL RETURN f.node_id AS node_id, f.name AS name ORDER BY f.name DESC, f.node_id LIMIT 20",
+        "select node_id, name from fn where name is not null order by name desc, node_id limit 20",
+    ),
+    "cy_undirected": (
+        "MATCH (a {name: 'describe'})-[:CALLS]-(b) RETURN a.node_id AS a, b.node_id AS b",
+        "select a.node_id as a, t as b from (select src as s, dst as t from e union all select dst, src from e where src <> dst) u join fn a on a.node_id = u.s join fn b on b.node_id = u.t where a.name = 'describe'",
+    ),
+    "cy_optional": (
+        "MATCH (f:Function {module: 'auth'}) OPTIONAL MATCH (t:Function)-[:CALLS]->(f) WHERE t.is_test = true RETURN f.node_id AS node_id, t.name AS test",
+        "select f.node_id, x.name as test from fn f left join (select e.dst, t.name from e join fn t on t.node_id = e.src where t.is_test) x on x.dst = f.node_id where f.module = 'auth'",
+    ),
+    "cy_count": ("MATCH (a)-[:CALLS]->(b) RETURN b.module AS module, count(*) AS n", "select b.module as module, count(*) as n from e join fn a on a.node_id = e.src join fn b on b.node_id = e.dst group by b.module"),
+    "cy_large_limit": ("MATCH (f:Function) RETURN f.label AS label LIMIT 1000", "select 'Function' as label from fn limit 1000"),
+}
+for _name, (_text, _sql) in _PATTERNS.items():
+    graph_query(_name, _sql)(lambda g, t=_text: pattern.run(g, t))
+graph_query("cy_params", "select node_id from fn where name = 'get' and module = 'auth'")(lambda g: pattern.run(g, "MATCH (f {name: $n}) WHERE f.module = $m RETURN f.node_id AS node_id", {"n": "get", "m": "auth"}))
+QUERIES["cy_meta"] = lambda spark, d: (
+    lambda g: pattern.run(CodeGraph(g.functions, g.edges, graph_meta(spark, g.functions)), "MATCH (m:GraphMeta) RETURN m.function_count AS function_count, m.file_count AS file_count")
+)(code_graph(spark, d))
+
+# ---------------------------------------------------------------- resolution, shapes, sources
+
+
+def _scoped(df, *columns):
+    """Names and files of one repository and build apart from those of others."""
+    return [F.concat_ws("|", F.col("repo_id").cast("string"), F.col("build_no").cast("string"), c).alias(c) for c in columns]
+
+
+@query(
+    "resolve_range_join",
+    GRAPH_SQL
+    + """, sites as (select distinct repo_id, build_no, caller_file, line, callee_name from ce)
+select distinct concat_ws('|', c.repo_id::varchar, c.build_no::varchar, c.qualified_name) as caller_qualified, concat_ws('|', k.repo_id::varchar, k.build_no::varchar, k.qualified_name) as callee_qualified
+from sites x join fn c on c.repo_id = x.repo_id and c.build_no = x.build_no and c.file = x.caller_file and x.line between c.start_line and c.end_line
+join fn k on k.repo_id = x.repo_id and k.build_no = x.build_no and k.name = x.callee_name
+where c.qualified_name <> k.qualified_name""",
+)
+def resolve_range_join(spark, d):
+    fn = code_graph(spark, d).functions.where("name is not null and qualified_name is not null and file is not null")
+    calls = table(spark, d, "call_edges").where("callee_name is not null and caller_file is not null")
+    functions = fn.select(*_scoped(fn, "name", "qualified_name", "file"), "language", "start_line", "end_line")
+    sites = calls.select(F.concat_ws("|", F.col("repo_id").cast("string"), F.col("build_no").cast("string"), "caller_file").alias("file"), "line", F.concat_ws("|", F.col("repo_id").cast("string"), F.col("build_no").cast("string"), "callee_name").alias("called_name"), F.lit(0).alias("arg_count"))
+    return resolve.resolve(functions, sites).select("caller_qualified", "callee_qualified")
+
+
+@query(
+    "ext_classify",
+    """select ext, language, count(*) as n_files from (select ext, case ext when '.go' then 'go' when '.java' then 'java' when '.ts' then 'typescript' when '.tsx' then 'typescript' when '.py' then 'python' else '' end as language
+  from (select regexp_extract(file, '(\\.[^./]*)$', 1) as ext from source_files where file is not null)) group by ext, language""",
+)
+def ext_classify(spark, d):
+    f = table(spark, d, "source_files").where("file is not null")
+    return f.groupBy(paths.extension(F.col("file")).alias("ext"), paths.language(F.col("file")).alias("language")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query("skipped_ext", "select ext, count(*) as n_files from (select regexp_extract(file, '(\\.[^./]*)$', 1) as ext from source_files where file is not null) where ext not in ('', '.go', '.java', '.ts', '.tsx', '.py') group by ext")
+def skipped_ext(spark, d):
+    f = table(spark, d, "source_files").where("file is not null")
+    return walk.skipped_extensions(f.select(paths.language(F.col("file")).alias("language"), paths.extension(F.col("file")).alias("ext")))
+
+
+@query("dirname_module", "select module, count(*) as n_files from (select case when contains(file, '/') then regexp_replace(file, '/[^/]*$', '') else '.' end as module from source_files where file is not null) group by module")
+def dirname_module(spark, d):
+    return table(spark, d, "source_files").where("file is not null").groupBy(paths.dirname(F.col("file")).alias("module")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query(
+    "walk_filter",
+    """select distinct file_id, file from source_files where file is not null
+  and not list_has_any(string_split(file, '/')[:-2], ['.git', '.graphloom', 'vendor', 'node_modules', 'dist', 'build', '__pycache__'])
+  and not (contains(file, '/') and (starts_with(file, 'vendor') or starts_with(file, 'node_modules') or starts_with(file, '.git') or starts_with(file, 'dist') or starts_with(file, 'build') or starts_with(file, '__pycache__')))
+  and not regexp_matches(string_split(file, '/')[-1], '^[^/]*\\.min\\.js$')""",
+)
+def walk_filter(spark, d):
+    f = F.col("file")
+    rows = table(spark, d, "source_files").where("file is not null")
+    return rows.where(~walk.excluded_dir(f, config.DEFAULT_EXCLUDE, []) & ~walk.ignored_file(f, ["*.min.js"])).select("file_id", "file").distinct()
+
+
+@query(
+    "data_shape",
+    """select row_id, p.n as param, p.t as type from (select row_id, unnest(list_transform(parameters, lambda x, i: {'i': i, 'n': case when coalesce(x.name, '') <> '' then x.name else '#' || (i - 1)::varchar end,
+    't': case when coalesce(x.type, '') <> '' then x.type else coalesce(x.type_expr, '') end})) as p from (select distinct on (row_id) row_id, parameters from function_snapshots order by row_id, delivered_at desc))
+  qualify row_number() over (partition by row_id, p.n order by p.i) = 1""",
+)
+def data_shape(spark, d):
+    rows = table(spark, d, "function_snapshots").groupBy("row_id").agg(F.max_by("parameters", "delivered_at").alias("parameters"))
+    text = lambda p, c: F.coalesce(p[c], F.lit("")).alias(c)
+    plain = rows.select("row_id", F.transform(F.filter("parameters", lambda p: p.isNotNull()), lambda p: F.struct(text(p, "name"), text(p, "type"), text(p, "type_expr"))).alias("parameters"))
+    return plain.select("row_id", F.explode(resolve.data_shape())).toDF("row_id", "param", "type")
+
+
+def _sources(spark, d):
+    """The latest scan of every file, with paths that tell repositories apart."""
+    rows = table(spark, d, "source_files").where("file_id is not null and file is not null")
+    last = rows.groupBy("file_id").agg(F.max_by(F.struct("repo_id", "file", "content"), "scanned_at").alias("r")).select("r.*")
+    path = F.concat(F.coalesce(F.col("repo_id").cast("string"), F.lit("0")), F.lit("/"), "file")
+    return last.select(path.alias("path"), paths.language(F.col("file")).alias("language"), F.encode("content", "utf-8").alias("content"))
+
+
+@query("extract_functions")
+def extract_functions(spark, d):
+    return frames.function_table(frames.extract_files(_sources(spark, d)))
+
+
+@query("extract_calls")
+def extract_calls(spark, d):
+    return frames.call_site_table(frames.extract_files(_sources(spark, d)))
+
+
+@query("resolve_sources")
+def resolve_sources(spark, d):
+    extracted = materialize(frames.extract_files(_sources(spark, d)), "extracted")
+    functions = frames.function_table(extracted)
+    return resolve.edge_table(resolve.resolve(functions, frames.call_site_table(extracted)), functions)
+
+
+@query("breaks_arity")
+def breaks_arity(spark, d):
+    extracted = materialize(frames.extract_files(_sources(spark, d)), "extracted")
+    return resolve.mismatched_calls(frames.function_table(extracted), frames.call_site_table(extracted))
