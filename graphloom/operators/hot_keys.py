@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPAN = "10000000000000000000"  # 10^19, more than any id distance
+_SPAN = "18446744073709551616"  # 2^64, more than any id distance
 _HALF = "9223372036854775808"  # 2^63, lifts ids to non-negative
 
 

@@ -82,7 +82,7 @@ def communities(g: CodeGraph, rounds: int = 5) -> DataFrame:
     state = materialize(g.functions.select("node_id", F.col("node_id").alias("community")), "labels")
     for _ in range(rounds):
         votes = links.join(state.select(F.col("node_id").alias("src"), "community"), "src").select(F.col("dst").alias("node_id"), "community")
-        counted = votes.unionByName(state).groupBy("node_id", "community").agg(F.count(F.lit(1)).alias("n"))
+        counted = votes.unionByName(state.select("node_id", "community")).groupBy("node_id", "community").agg(F.count(F.lit(1)).alias("n"))
         best = counted.groupBy("node_id").agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("next"))
         fresh = materialize(state.join(best, "node_id").select("node_id", F.col("next").alias("community"), (F.col("next") != F.col("community")).alias("moved")), "labels")
         still = fresh.where("moved").isEmpty()

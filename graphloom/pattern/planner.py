@@ -159,7 +159,8 @@ class _Plan:
                 keep = [c for c in out.columns if c not in part.columns and not c.endswith("#")]
                 part = part.join(out.select(*[F.col(f"`{s}#`") for s in shared], *[F.col(f"`{c}`") for c in keep]).distinct(), [f"{s}#" for s in shared]) if keep else part
                 part = part.where(self._condition(rest, self._bound)).drop(*keep)
-            out = out.join(part, [f"{s}#" for s in shared], "left")
+            again = [c for c in part.columns if c in out.columns and c not in [f"{s}#" for s in shared]]
+            out = out.join(part.drop(*again), [f"{s}#" for s in shared], "left")
         return out
 
     @staticmethod

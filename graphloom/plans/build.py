@@ -55,10 +55,10 @@ def build(spark: SparkSession, options: Options) -> tuple[CodeGraph, Result]:
     folder for the joins. Files that can't be read or parsed are listed in the ``errors`` table."""
     began = time.time()
     config = cfg.init(options.root)
-    files = walk.scan(spark, options.root, config.exclude, scope=options.scope)
+    files = materialize(walk.scan(spark, options.root, config.exclude, scope=options.scope), "files")
     languages = config.languages if options.configured_languages else None
     taken = files.where(F.col("language").isin(languages)) if languages else files
-    extracted = materialize(extract_files(taken, options.strict_parity), "extracted")
+    extracted = materialize(extract_files(walk.with_content(taken.where("language <> ''"), options.root), options.strict_parity), "extracted")
     functions = materialize(function_table(extracted), "functions")
     calls = call_site_table(extracted)
     edges = edge_table(resolve(functions, calls, options.same_language), functions)
@@ -77,7 +77,7 @@ def build(spark: SparkSession, options: Options) -> tuple[CodeGraph, Result]:
     result.languages = walk.found_languages(files)
     result.coverage = {r.contract_completeness: r.functions for r in contract_coverage(stored.functions).collect()}  # three kinds
     result.skipped = {r.ext: r.n_files for r in walk.skipped_extensions(files).orderBy(F.desc("n_files"), "ext").limit(1000).collect()}
-    release(extracted, functions)
+    release(files, extracted, functions)
     result.seconds = time.time() - began
     return stored, result
 

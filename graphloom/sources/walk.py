@@ -43,22 +43,98 @@ def ignored_file(path: Column, gitignore: list[str]) -> Column:
     return out
 
 
-def scan(spark: SparkSession, root: str, exclude: list[str] = (), gitignore: list[str] | None = None, scope: str = "", languages: list[str] | None = None) -> DataFrame:
-    """All kept files, also of unsupported languages (language ''); paths are relative to the root.
+def _filesystem(root: str):
+    """(file system, base path) of a folder given as a path or as a URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
+
+
+def _skipped(rel: str, names: frozenset[str], prefixes: tuple[str, ...]) -> bool:
+    """The folder rule on the driver's side of the listing, so that left-out trees are never listed."""
+    return rel.rsplit("/", 1)[-1] in names or any(p and rel.startswith(p) for p in prefixes)
+
+
+def _list(filesystem, base: str, rel: str) -> tuple[list[tuple[str, int]], list[str]]:
+    """(files with sizes, folders) of one folder, relative to the base; an unreadable folder is empty."""
+    from pyarrow import fs
+
+    try:
+        infos = filesystem.get_file_info(fs.FileSelector(f"{base}/{rel}" if rel else base))
+    except OSError:
+        return [], []
+    join = lambda i: f"{rel}/{i.base_name}" if rel else i.base_name
+    return [(join(i), i.size or 0) for i in infos if i.type == fs.FileType.File], [join(i) for i in infos if i.type == fs.FileType.Directory]
 
-    ``scope`` prunes the listing to a sub-folder. The content column is only read by plans that use it."""
+
+#: folders that the driver lists before executors take over; files per task that reads them
+FRONTIER, FILES_PER_TASK = 256, 500
+
+
+def list_files(spark: SparkSession, root: str, exclude: list[str] = (), gitignore: list[str] | None = None, scope: str = "") -> DataFrame:
+    """``(path, size)`` of all files below the root that no folder rule leaves out, hidden names included.
+
+    Spark's own file sources pass over names that begin with '_' or '.', and with them every
+    ``__init__.py``; so the tree is listed here: a bounded frontier of folders on the driver, then one task per
+    folder of it, each going down on its own."""
     gitignore = load_gitignore(root) if gitignore is None else gitignore
-    base = root.rstrip("/") or "/"
-    target = f"{base}/{scope.strip('/')}" if scope.strip("/.") else base
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(target)
-    plain = F.url_decode(F.regexp_replace(F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:/{1,2}(?=/)", ""), "\\+", "%2B"))
-    cut = len(os.path.abspath(base).rstrip("/")) if "://" not in base else len(base.split("://", 1)[1])
-    rel = F.regexp_replace(F.substr(plain, F.lit(cut + 1)), "^/+", "")
-    kept = files.select(rel.alias("path"), "content").where(~excluded_dir(F.col("path"), list(exclude), gitignore) & ~ignored_file(F.col("path"), gitignore))
-    out = kept.select("path", language(F.col("path")).alias("language"), extension(F.col("path")).alias("ext"), "content")
+    names = frozenset([".git", TOOL_DIR, *exclude, *(g.rstrip("/") for g in gitignore)])
+    prefixes = tuple(exclude)
+    filesystem, base = _filesystem(root)
+    files, frontier = [], [scope.strip("/")] if scope.strip("/.") else [""]
+    while frontier and len(frontier) < FRONTIER and len(files) < FRONTIER * FILES_PER_TASK:
+        found, below = _list(filesystem, base, frontier.pop(0))
+        files += found
+        frontier += [d for d in below if not _skipped(d, names, prefixes)]
+
+    def descend(batches):
+        import pandas as pd
+
+        filesystem, base = _filesystem(root)
+        for batch in batches:
+            for start in batch["folder"]:
+                stack = [start]
+                while stack:
+                    found, below = _list(filesystem, base, stack.pop())
+                    stack += [d for d in below if not _skipped(d, names, prefixes)]
+                    yield pd.DataFrame(found, columns=["path", "size"])
+
+    out = spark.createDataFrame(files, "path string, size bigint")
+    if frontier:
+        folders = spark.createDataFrame([(d,) for d in frontier], "folder string").repartition(len(frontier))
+        out = out.unionByName(folders.mapInPandas(descend, "path string, size bigint"))
+    return out.where(~ignored_file(F.col("path"), gitignore))
+
+
+def scan(spark: SparkSession, root: str, exclude: list[str] = (), gitignore: list[str] | None = None, scope: str = "", languages: list[str] | None = None) -> DataFrame:
+    """All kept files, also of unsupported languages (language ''), as ``(path, language, ext, size)``;
+    paths are relative to the root. ``scope`` restricts the listing to a sub-folder."""
+    files = list_files(spark, root, list(exclude), gitignore, scope)
+    out = files.select("path", language(F.col("path")).alias("language"), extension(F.col("path")).alias("ext"), "size")
     return out.where(F.col("language").isin(list(languages))) if languages else out
 
 
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """Adds ``content`` to scanned files; unreadable ones get null. Read by as many tasks as the files ask for."""
+    tasks = max(1, -(-files.count() // FILES_PER_TASK))
+
+    def read(batches):
+        filesystem, base = _filesystem(root)
+        for batch in batches:
+            contents = []
+            for path in batch["path"]:
+                try:
+                    with filesystem.open_input_stream(f"{base}/{path}") as f:
+                        contents.append(f.read())
+                except OSError:
+                    contents.append(None)
+            yield batch.assign(content=contents)
+
+    fields = ", ".join(f"{n} {t}" for n, t in files.dtypes)
+    # small batches: a task holds few contents at a time
+    return files.repartition(tasks).mapInPandas(read, f"{fields}, content binary")
+
+
 def skipped_extensions(files: DataFrame) -> DataFrame:
     """``(ext, n_files)`` of files whose extension isn't supported; files without one aren't counted."""
     return files.where((F.col("language") == "") & (F.col("ext") != "")).groupBy("ext").agg(F.count(F.lit(1)).alias("n_files"))
