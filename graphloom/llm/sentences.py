@@ -263,7 +263,7 @@ class _Unit:
     def _goes_on(self, n: int, gap: bool) -> bool:
         """What follows a closing quote or an ellipsis belongs to the same sentence."""
         nxt = self.text[n]
-        if nxt in _JOINING or nxt.islower():
+        if nxt in _JOINING or nxt == "-" or nxt.islower():
             return True
         if spaceless(nxt):
             return not thai(nxt) and _word_behind(self.text, n) in OPENING_ON
