@@ -32,28 +32,59 @@ def query(name: str, sql: str | None = None):
 # ---------------------------------------------------------------- 1 nested records
 
 
-@query("p1_found")
+def _opened_sql(x: str) -> str:
+    """A JSON value, also where it is given as JSON text."""
+    return f"case when json_type({x}) = 'VARCHAR' then try_cast({x} ->> '$' as json) else {x} end"
+
+
+def _list_sql(x: str) -> str:
+    return f"case json_type({x}) when 'ARRAY' then json_extract({x}, '$[*]') when 'OBJECT' then [{x}] else [] end"
+
+
+_SHRED_SQL = f"""
+with d as (select record_id, payload from (select record_id, regexp_replace(payload, '^[\\s\ufeff]+', '') as payload, extracted_at from extract_records where record_id is not null) where json_valid(payload)
+  qualify row_number() over (partition by record_id order by extracted_at desc nulls last, payload desc) = 1),
+t0 as (select record_id, payload::json as j from d), t1 as (select record_id, {_opened_sql("j")} as j from t0),
+t2 as (select record_id, case json_type(j) when 'ARRAY' then j -> 0 else j end as j from t1),
+t3 as (select record_id, case when json_type(j -> 'record') = 'OBJECT' then j -> 'record' else j end as j from t2 where json_type(j) = 'OBJECT'),
+r as (select record_id, {_opened_sql("x")} as x from (select record_id, j -> 'returns' as x from t3)),
+m as (select record_id, 'parameters' as branch, j -> 'parameters' as x from t3 union all select record_id, 'returns', case json_type(x) when 'ARRAY' then x when 'OBJECT' then x -> 'values' end from r),
+o as (select record_id, branch, {_opened_sql("x")} as x from m), l as (select record_id, branch, {_list_sql("x")} as l from o),
+e as (select record_id, branch, pos, {_opened_sql("x")} as x from (select record_id, branch, unnest(l) as x, unnest(generate_series(0, len(l) - 1)) as pos from l)),
+p as (select * from e where json_type(x) = 'OBJECT'),
+f as (select record_id, branch, pos, {_opened_sql("x")} as x from (select record_id, branch, pos, x -> 'expanded' as x from p)), g as (select record_id, branch, pos, {_list_sql("x")} as l from f),
+h as (select record_id, branch, pos, sub_pos, {_opened_sql("x")} as x from (select record_id, branch, pos, unnest(l) as x, unnest(generate_series(0, len(l) - 1)) as sub_pos from g))
+"""
+
+
+@query("p1_found", _SHRED_SQL + "select record_id, branch, pos, -1 as sub_pos from p union all select record_id, branch, pos, sub_pos from h where json_type(x) = 'OBJECT'")
 def p1_found(spark, d):
     tables = shred.shred_functions(table(spark, d, "extract_records"))
     return shred.shredded_cases(tables)
 
 
-@query("p1_functions")
+@query(
+    "p1_functions",
+    _SHRED_SQL
+    + """select t3.record_id, j ->> 'name' as name, j ->> 'qualified_name' as qualified_name, j ->> 'file' as file, j ->> 'language' as language, j ->> 'package' as package, j ->> 'receiver' as receiver, j ->> 'kind' as kind,
+  j ->> 'tag' as tag, j ->> 'contract_completeness' as contract_completeness, try_cast(j ->> 'start_line' as int) as start_line, try_cast(j ->> 'end_line' as int) as end_line,
+  coalesce(j ->> 'exported' = 'true', false) as exported, coalesce(json_type(x) = 'OBJECT' and x ->> 'multiple' = 'true', false) as multiple from t3 join r using (record_id)""",
+)
 def p1_functions(spark, d):
     return shred.shred_functions(table(spark, d, "extract_records"))["functions"]
 
 
-@query("p1_parameters")
+@query("p1_parameters", _SHRED_SQL + "select record_id, pos, x ->> 'name' as name, x ->> 'type' as type, x ->> 'type_expr' as type_expr, coalesce(x ->> 'nullable' = 'true', false) as nullable, coalesce(x ->> 'variadic' = 'true', false) as variadic from p where branch = 'parameters'")
 def p1_parameters(spark, d):
     return shred.shred_functions(table(spark, d, "extract_records"))["parameters"]
 
 
-@query("p1_returns")
+@query("p1_returns", _SHRED_SQL + "select record_id, pos, x ->> 'name' as name, x ->> 'type' as type, x ->> 'type_expr' as type_expr, coalesce(x ->> 'nullable' = 'true', false) as nullable from p where branch = 'returns'")
 def p1_returns(spark, d):
     return shred.shred_functions(table(spark, d, "extract_records"))["returns"]
 
 
-@query("p1_expanded")
+@query("p1_expanded", _SHRED_SQL + "select record_id, branch, pos, sub_pos, x ->> 'name' as name, x ->> 'type' as type, coalesce(x ->> 'nullable' = 'true', false) as nullable from h where json_type(x) = 'OBJECT'")
 def p1_expanded(spark, d):
     return shred.shred_functions(table(spark, d, "extract_records"))["expanded"]
 
@@ -67,12 +98,33 @@ def _changes(spark, d):
     return snapshots.snapshot_changes(t, "repo_id", "qualified_name", "snapshot_no", content, "delivered_at", "row_id")
 
 
-@query("p2_found")
+_CHANGES_SQL = """
+with src as (select * from function_snapshots where repo_id is not null and snapshot_no is not null),
+canon as (select *, list_transform(coalesce(parameters, []), lambda p: {'n': coalesce(p.name, ''), 't': coalesce(p.type, ''), 'e': coalesce(p.type_expr, ''), 'u': coalesce(p.nullable, false), 'v': coalesce(p.variadic, false),
+    'x': list_transform(coalesce(p.expanded, []), lambda f: {'n': coalesce(f.name, ''), 't': coalesce(f.type, ''), 'u': coalesce(f.nullable, false)})}) as cp,
+  list_transform(coalesce(returns.values, []), lambda p: {'n': coalesce(p.name, ''), 't': coalesce(p.type, ''), 'e': coalesce(p.type_expr, ''), 'u': coalesce(p.nullable, false),
+    'x': list_transform(coalesce(p.expanded, []), lambda f: {'n': coalesce(f.name, ''), 't': coalesce(f.type, ''), 'u': coalesce(f.nullable, false)})}) as cv,
+  coalesce(len(returns.values), 0) > 0 and coalesce(returns.multiple, false) as cm from src),
+rows as (select repo_id, qualified_name, snapshot_no, to_json({'p': cp, 'v': cv, 'm': cm})::varchar as c from canon where qualified_name is not null
+  qualify row_number() over (partition by repo_id, qualified_name, snapshot_no order by delivered_at desc nulls last, row_id desc) = 1),
+snaps as (select repo_id, snapshot_no, lag(snapshot_no) over (partition by repo_id order by snapshot_no) as prev from (select distinct repo_id, snapshot_no from src)),
+pairs as (select * from snaps where prev is not null),
+changes as (select p.repo_id, n.qualified_name, p.snapshot_no, case when o.c is null then 'added' else 'changed' end as change from pairs p join rows n on n.repo_id = p.repo_id and n.snapshot_no = p.snapshot_no
+  left join rows o on o.repo_id = p.repo_id and o.snapshot_no = p.prev and o.qualified_name = n.qualified_name where o.c is distinct from n.c
+  union all select p.repo_id, o.qualified_name, p.snapshot_no, 'removed' from pairs p join rows o on o.repo_id = p.repo_id and o.snapshot_no = p.prev
+  where not exists (select 1 from rows n where n.repo_id = p.repo_id and n.snapshot_no = p.snapshot_no and n.qualified_name = o.qualified_name))
+"""
+
+
+@query("p2_found", _CHANGES_SQL + "select repo_id, qualified_name, snapshot_no, change from changes")
 def p2_found(spark, d):
     return _changes(spark, d).select("repo_id", "qualified_name", "snapshot_no", "change")
 
 
-@query("p2_change_counts")
+@query(
+    "p2_change_counts",
+    _CHANGES_SQL + "select repo_id, snapshot_no, count(*) filter (where change = 'added') as added, count(*) filter (where change = 'removed') as removed, count(*) filter (where change = 'changed') as changed from changes group by all",
+)
 def p2_change_counts(spark, d):
     return _changes(spark, d).groupBy("repo_id", "snapshot_no").agg(*[F.count(F.when(F.col("change") == c, 1)).alias(c) for c in ("added", "removed", "changed")])
 
@@ -117,18 +169,38 @@ def _hierarchy(spark, d):
     return hierarchy.decompose(table(spark, d, "call_links"), "caller_qualified", "callee_qualified", "seen_at")
 
 
-@query("p5_found")
+_TREES_SQL = """
+with recursive l as (select nullif(regexp_replace(caller_qualified, '^\\s+|\\s+$', '', 'g'), '') as p, nullif(regexp_replace(callee_qualified, '^\\s+|\\s+$', '', 'g'), '') as c, seen_at from call_links),
+nodes as (select c as n from l where c is not null union select p from l where p is not null),
+up as (select c, p from l where c is not null and p is not null qualify row_number() over (partition by c order by seen_at desc nulls last, p desc) = 1),
+reach(n, a) as (select c, p from up union select r.n, up.p from reach r join up on up.c = r.a),
+loops as (select n from reach where n = a),
+cyc as (select r.n, min(r.a) as root, bool_or(r.n = r.a) as own from reach r join loops on loops.n = r.a group by r.n),
+tree as (select n, count(a) as depth from nodes left join reach using (n) where n not in (select n from cyc) group by n),
+above as (select r.n, r.a, t.depth as ad from reach r join tree t on t.n = r.a where r.n in (select n from tree) union all select n, n, depth from tree)
+"""
+
+
+@query(
+    "p5_found",
+    _TREES_SQL
+    + """select t.n as node_qualified, a.a as root_qualified, t.depth, 'tree' as state from tree t join above a on a.n = t.n and a.ad = 0
+union all select n, root, -1, case when own then 'cycle' else 'below_cycle' end from cyc""",
+)
 def p5_found(spark, d):
     h = _hierarchy(spark, d)
     return h.select(F.col("node").alias("node_qualified"), F.col("root").alias("root_qualified"), "depth", "state")
 
 
-@query("p5_paths")
+@query(
+    "p5_paths",
+    _TREES_SQL + "select a.n as node, min(a.a) filter (where ad = 0) as root, any_value(t.depth) as depth, string_agg(a.a, ' > ' order by ad) as path from above a join tree t on t.n = a.n group by a.n",
+)
 def p5_paths(spark, d):
     return hierarchy.full_paths(_hierarchy(spark, d)).select("node", "root", "depth", F.array_join("path", " > ").alias("path"))
 
 
-@query("p5_below")
+@query("p5_below", _TREES_SQL + "select a.a as node, a.n as below, t.depth - a.ad as distance from above a join tree t on t.n = a.n where a.a <> a.n")
 def p5_below(spark, d):
     return hierarchy.descendants(_hierarchy(spark, d))
 
@@ -159,10 +231,10 @@ with recursive fn as (select fn_id as node_id, * exclude (fn_id, is_test), coale
   select *, row_number() over (partition by fn_id order by loaded_at desc nulls last, collected_at desc nulls last) as rn from functions where fn_id is not null) where rn = 1),
 ids as (select repo_id, build_no, qualified_name, max(node_id) as id from fn group by all),
 ce as (select * from (select *, row_number() over (partition by call_id order by loaded_at desc nulls last, seen_at desc nulls last) as rn from call_edges where call_id is not null) where rn = 1),
-e as (select ce.call_id as edge_id, s.id as src, t.id as dst, ce.label as label from ce
+ae as (select ce.call_id as edge_id, s.id as src, t.id as dst, ce.label as label from ce
   join ids s on s.repo_id = ce.repo_id and s.build_no = ce.build_no and s.qualified_name = ce.caller_qualified
   join ids t on t.repo_id = ce.repo_id and t.build_no = ce.build_no and t.qualified_name = ce.callee_qualified
-  where ce.label = 'CALLS'),
+  ), e as (select * from ae where label = 'CALLS'),
 one as (select node_id from fn where name = '{name}' order by file nulls first, start_line nulls first, node_id limit 1)
 """
 INFO_SQL = "node_id, name, qualified_name, file, start_line, end_line, module, exported, is_test"
@@ -221,7 +293,7 @@ for _page, _options in {"page_first": Options(50, 0), "page_mid": Options(50, 12
     )
 graph_query(
     "graph_summary",
-    """select (select count(*) from (select distinct module from fn where module <> '')) as n_modules, (select count(*) from fn where module <> '') as total_functions, (select count(*) from e) as total_edges,
+    """select (select count(*) from (select distinct module from fn where module <> '')) as n_modules, (select count(*) from fn where module <> '') as total_functions, (select count(*) from ae) as total_edges,
   (select count(*) from fn where not is_test and not exists (select 1 from e join fn t on t.node_id = e.src and t.is_test where e.dst = fn.node_id)) as untested_count""",
 )(lambda g: modules.graph_summary(g).select(F.size("modules").cast("long").alias("n_modules"), "total_functions", "total_edges", "untested_count"))
 graph_query(
@@ -241,7 +313,7 @@ graph_query(
 where a.module <> '' and b.module <> '' group by a.module""",
 )(lambda g: modules.cohesion(g))
 graph_query("contract_coverage", "select contract_completeness, count(*) as functions from fn group by contract_completeness")(lambda g: modules.contract_coverage(g.functions))
-graph_query("node_edge_counts", "select (select count(*) from fn) as nodes, (select count(*) from e) as edges")(
+graph_query("node_edge_counts", "select (select count(*) from fn) as nodes, (select count(*) from ae) as edges")(
     lambda g: g.functions.agg(F.count(F.lit(1)).alias("nodes")).withColumn("k", F.lit(1)).join(g.edges.agg(F.count(F.lit(1)).alias("edges")).withColumn("k", F.lit(1)), "k").drop("k")
 )
 graph_query(
@@ -268,7 +340,7 @@ _PATTERNS = {
         "MATCH (a:Function {name: 'handle'})-[:CALLS]->(b:Function {exported: true}) RETURN a.node_id AS a, b.node_id AS b",
         "select a.node_id as a, b.node_id as b from e join fn a on a.node_id = e.src join fn b on b.node_id = e.dst where a.name = 'handle' and b.exported",
     ),
-    "cy_imports": ("MATCH (a)-[:IMPORTS]->(b) RETURN a.name AS a, b.name AS b", "select a.name as a, b.name as b from e join fn a on a.node_id = e.src join fn b on b.node_id = e.dst where e.label = 'IMPORTS'"),
+    "cy_imports": ("MATCH (a)-[:IMPORTS]->(b) RETURN a.name AS a, b.name AS b", "select a.name as a, b.name as b from ae e join fn a on a.node_id = e.src join fn b on b.node_id = e.dst where e.label = 'IMPORTS'"),
     "cy_edge_var": (
         "MATCH (a)-[e:CALLS]->(b {name: 'handle'}) RETURN a.name AS caller, e.edge_id AS edge_id, e.label AS label",
         "select a.name as caller, e.edge_id, e.label from e join fn a on a.node_id = e.src join fn b on b.node_id = e.dst where b.name = 'handle'",
@@ -309,9 +381,9 @@ QUERIES["cy_meta"] = lambda spark, d: (
 # ---------------------------------------------------------------- resolution, shapes, sources
 
 
-def _scoped(df, *columns):
-    """Names and files of one repository and build apart from those of others."""
-    return [F.concat_ws("|", F.col("repo_id").cast("string"), F.col("build_no").cast("string"), c).alias(c) for c in columns]
+def _scoped(*columns):
+    """Names and files of one repository and build apart from those of others; null stays null."""
+    return [F.concat(F.col("repo_id").cast("string"), F.lit("|"), F.col("build_no").cast("string"), F.lit("|"), c).alias(c) for c in columns]
 
 
 @query(
@@ -324,10 +396,9 @@ join fn k on k.repo_id = x.repo_id and k.build_no = x.build_no and k.name = x.ca
 where c.qualified_name <> k.qualified_name""",
 )
 def resolve_range_join(spark, d):
-    fn = code_graph(spark, d).functions.where("name is not null and qualified_name is not null and file is not null")
-    calls = table(spark, d, "call_edges").where("callee_name is not null and caller_file is not null")
-    functions = fn.select(*_scoped(fn, "name", "qualified_name", "file"), "language", "start_line", "end_line")
-    sites = calls.select(F.concat_ws("|", F.col("repo_id").cast("string"), F.col("build_no").cast("string"), "caller_file").alias("file"), "line", F.concat_ws("|", F.col("repo_id").cast("string"), F.col("build_no").cast("string"), "callee_name").alias("called_name"), F.lit(0).alias("arg_count"))
+    functions = code_graph(spark, d).functions.select(*_scoped("name", "qualified_name", "file"), "language", "start_line", "end_line")
+    calls = table(spark, d, "call_edges").select(*_scoped("caller_file", "callee_name"), "line")
+    sites = calls.select(F.col("caller_file").alias("file"), "line", F.col("callee_name").alias("called_name"), F.lit(0).alias("arg_count"))
     return resolve.resolve(functions, sites).select("caller_qualified", "callee_qualified")
 
 
