@@ -55,6 +55,9 @@ _ARTICLES = frozenset("am im zum vom beim der die das dem den des jeder jedes je
 #: fixed values: words that go on with a sentence behind a closing quote or an ellipsis
 GO_ON = frozenset("और पर लेकिन फिर या कि तो ثم و أو لكن ف بعد ثمّ".split())
 
+#: fixed values: the same of cased scripts, for posts without capitals
+CONJUNCTIONS = frozenset("and but or then while said says asked und aber oder et mais ou avant puis y e o pero и а но или".split())
+
 #: fixed values: closed-class words of the spaceless scripts
 FINAL = frozenset(
     "了 吗 呢 吧 啊 呀 嘛 啦 です ます でした ました ません ませんでした だった ですか ますか だ か ね よ よね ください しょう ない たい ครับ ค่ะ คะ นะ".split()
@@ -107,8 +110,9 @@ def _word_behind(text: str, at: int) -> str:
 class _Unit:
     """One stretch of running text: where its sentences may end."""
 
-    def __init__(self, text: str, start: int, end: int, mark: int):
+    def __init__(self, text: str, start: int, end: int, mark: int, lowered: bool = False):
         self.text, self.start, self.end, self.mark = text, start, end, mark
+        self.lowered = lowered  # the post has no capitals, so that case tells nothing
         body = text[start:end]
         self.masked = [(start + m.start(), start + m.start() + len(m.group().rstrip(".,!?;:'\")]"))) for m in _URL.finditer(body)]
         self.masked += [(start + m.start(), start + m.end()) for m in _CODE.finditer(body)]
@@ -251,7 +255,8 @@ class _Unit:
             if dense and not thai(nxt):
                 before = _word_before(text, a)
                 return None if before in NOT_FINAL or not (before in FINAL or spaceless(text[a - 1])) else pos
-            return None if not gap or self._goes_on(n, gap) else pos
+            apart = a > began and text[a - 1].isspace()  # set off on both sides, it stands within a sentence
+            return None if not gap or apart or self._goes_on(n, gap) else pos
         if strong:
             if gap or run[-1] in _ALWAYS or dense:
                 return pos
@@ -263,8 +268,10 @@ class _Unit:
     def _goes_on(self, n: int, gap: bool) -> bool:
         """What follows a closing quote or an ellipsis belongs to the same sentence."""
         nxt = self.text[n]
-        if nxt in _JOINING or nxt == "-" or nxt.islower():
+        if nxt in _JOINING or nxt == "-":
             return True
+        if nxt.islower():
+            return not self.lowered or re.match(r"\w+", self.text[n : n + 16]).group() in CONJUNCTIONS
         if spaceless(nxt):
             return not thai(nxt) and _word_behind(self.text, n) in OPENING_ON
         word = re.match(r"[^\W\d_]*[ऀ-ॿ؀-ۿ]*", self.text[n : min(self.end, n + 20)]).group()
@@ -369,9 +376,12 @@ def _trimmed(text: str, a: int, b: int) -> tuple[int, int] | None:
 
 def segment(text: str | None) -> list[tuple[int, int]]:
     """Ranges of the text's sentences, in order; together they cover all characters but white space."""
-    out = []
-    for kind, a, b, mark in _units(text or ""):
-        cuts = [a, *(_Unit(text, a, b, mark).ends() if kind == "text" else []), b]
+    out, text = [], text or ""
+    units = list(_units(text))
+    prose = [c for kind, a, b, _ in units if kind == "text" for c in _URL.sub("", _CODE.sub("", text[a:b])) if c.isupper() or c.islower()]
+    lowered = bool(prose) and not any(map(str.isupper, prose))
+    for kind, a, b, mark in units:
+        cuts = [a, *(_Unit(text, a, b, mark, lowered).ends() if kind == "text" else []), b]
         out += [r for x, y in zip(cuts, cuts[1:]) if (r := _trimmed(text, x, y))]
     return out
 
