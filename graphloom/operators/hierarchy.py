@@ -37,6 +37,12 @@ def _clean(c: Column) -> Column:
     return F.when(name != "", name)
 
 
+def _left(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join that keeps rows with a null key out of the shuffle, where they would all meet in one task."""
+    missing = rows.where(F.col(key).isNull())
+    return rows.where(F.col(key).isNotNull()).join(other, key, "left").unionByName(missing, allowMissingColumns=True)
+
+
 def _named_links(links: DataFrame, parent: str, child: str, seen: str | None) -> tuple[DataFrame, DataFrame]:
     """(names: id, name) and (up: id, parent id or null), one row per node."""
     pairs = links.select(_clean(F.col(parent)).alias("p"), _clean(F.col(child)).alias("c"), (F.col(seen) if seen else F.lit(None).cast("timestamp")).alias("at"))
@@ -44,7 +50,7 @@ def _named_links(links: DataFrame, parent: str, child: str, seen: str | None) ->
     ends = kept.select("c").union(pairs.where(F.col("p").isNotNull()).select("p")).distinct()
     names = materialize(ends.select(F.monotonically_increasing_id().alias("id"), F.col("c").alias("name")), "names")
     parent_ids = names.select(F.col("id").alias("parent"), F.col("name").alias("p"))
-    child_ids = kept.join(parent_ids, "p", "left").select(F.col("c").alias("name"), "parent")
+    child_ids = _left(kept, parent_ids, "p").select(F.col("c").alias("name"), "parent")
     up = materialize(names.join(child_ids, "name", "left").select("id", "name", "parent"), "up")
     release(names)
     return up, up
@@ -57,7 +63,7 @@ def _separate(up: DataFrame) -> tuple[DataFrame, DataFrame]:
     while True:
         below = state.where(F.col("jump").isNotNull()).groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("more"))
         onward = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"))
-        moved = state.join(onward, "jump", "left").select("id", F.col("next").alias("jump"), "size")
+        moved = _left(state, onward, "jump").select("id", F.col("next").alias("jump"), "size")
         fresh = materialize(moved.join(below, "id", "left").select("id", "jump", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "sizes")
         left = fresh.where(F.col("jump").isNotNull()).count()
         release(*owned)
@@ -131,7 +137,7 @@ def decompose(links: DataFrame, parent: str, child: str, seen: str | None = None
         F.max_by("id", F.struct("size", "name")).alias("heavy"), F.max("size").alias("heavy_size"), F.count(F.lit(1)).alias("n")
     )
     tree = materialize(
-        family.join(best, "parent", "left").select(
+        _left(family, best, "parent").select(
             "id", "name", "parent", "size", F.when(F.col("heavy") == F.col("id"), F.col("parent")).alias("heavy_parent"), "heavy_size", "n"
         ),
         "tree",
@@ -150,7 +156,7 @@ def decompose(links: DataFrame, parent: str, child: str, seen: str | None = None
     nodes = materialize(tree.join(ranked, "id").join(light, "id", "left"), "nodes")
     heads = nodes.where(F.col("id") == F.col("chain")).select("chain", "name", F.col("parent").alias("above"), "offset")
     placed = nodes.select(F.col("id").alias("above"), F.col("chain").alias("up_chain"), F.col("pos").alias("up_pos"))
-    heads = materialize(heads.join(placed, "above", "left").select("chain", "name", "up_chain", "up_pos", "offset"), "heads")
+    heads = materialize(_left(heads, placed, "above").select("chain", "name", "up_chain", "up_pos", "offset"), "heads")
     level = materialize(
         heads.where(F.col("up_chain").isNull()).select(
             "chain", F.col("name").alias("root"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("start"), F.expr("cast(array() as array<struct<chain:bigint,pos:bigint>>)").alias("above")
