@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom import schema
-from graphloom.extract import LANGUAGES, extract
+from graphloom.extract import LANGUAGES, extract_all
 from graphloom.functions.paths import dirname
 
 
@@ -18,22 +18,22 @@ def _extractor(strict_parity: bool):
         for files in batches:
             rows = []
             for path, language, content in zip(files["path"], files["language"], files["content"]):
-                records, calls, error = [], [], None
+                records, calls, imports, error = [], [], [], None
                 try:
                     text = content.decode("utf-8", "replace") if isinstance(content, (bytes, bytearray)) else content or ""
-                    records, calls = extract(path, language, text, strict_parity)
+                    records, calls, imports = extract_all(path, language, text, strict_parity)
                 except Exception as e:  # one unreadable file must not end the build
                     error = f"{type(e).__name__}: {e}"[:500]
-                rows.append((path, records, calls, error))
-            yield pd.DataFrame(rows, columns=["file", "records", "calls", "error"])
+                rows.append((path, records, calls, imports, error))
+            yield pd.DataFrame(rows, columns=["file", "records", "calls", "imports", "error"])
 
     return run
 
 
 def extract_files(files: DataFrame, strict_parity: bool = False) -> DataFrame:
-    """``(file, records, calls, error)``: one row per supported file."""
+    """``(file, records, calls, imports, error)``: one row per supported file."""
     supported = files.where(F.col("language").isin(*LANGUAGES)).select("path", "language", "content")
-    return supported.mapInPandas(_extractor(strict_parity), f"file string, records array<{schema.RECORD}>, calls array<{schema.CALL_SITE}>, error string")
+    return supported.mapInPandas(_extractor(strict_parity), f"file string, records array<{schema.RECORD}>, calls array<{schema.CALL_SITE}>, imports array<string>, error string")
 
 
 def qualified(module: Column, receiver: Column, name: Column) -> Column:
@@ -72,3 +72,8 @@ def function_table(extracted: DataFrame) -> DataFrame:
 
 def call_site_table(extracted: DataFrame) -> DataFrame:
     return extracted.select("file", F.explode("calls").alias("c")).select("file", "c.line", "c.called_name", "c.arg_count")
+
+
+def import_table(extracted: DataFrame) -> DataFrame:
+    """``(file, key)`` of every file's imports."""
+    return extracted.select("file", F.explode("imports").alias("key"))

@@ -10,10 +10,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import config as cfg
-from graphloom.extract.frames import call_site_table, extract_files, function_table
+from graphloom.extract.frames import call_site_table, extract_files, function_table, import_table
 from graphloom.graph import CodeGraph, graph_meta
 from graphloom.operators.modules import contract_coverage
-from graphloom.plans.resolve import edge_table, mismatched_calls, resolve
+from graphloom.plans.resolve import edge_table, import_edges, mismatched_calls, resolve
 from graphloom.sources import walk
 from graphloom.storage import materialize, release
 
@@ -29,6 +29,7 @@ class Options:
     strict_parity: bool = False  # no call sites from Java
     same_language: bool = False  # calls stay in their language
     configured_languages: bool = False  # leave out languages that the configuration doesn't name
+    imports: bool = False  # IMPORTS edges beside the calls
 
 
 @dataclass
@@ -62,6 +63,8 @@ def build(spark: SparkSession, options: Options) -> tuple[CodeGraph, Result]:
     functions = materialize(function_table(extracted), "functions")
     calls = call_site_table(extracted)
     edges = edge_table(resolve(functions, calls, options.same_language), functions)
+    if options.imports:
+        edges = edges.unionByName(import_edges(functions, import_table(extracted)))
     graph = CodeGraph(functions, edges, graph_meta(spark, functions))
     path = options.out or graph_path(options.root)
     graph.save(path)

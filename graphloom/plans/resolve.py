@@ -59,13 +59,19 @@ def data_shape():
 
 
 def import_edges(functions: DataFrame, imports: DataFrame) -> DataFrame:
-    """IMPORTS edges: the first function of each importing file to each function of the imported module.
+    """IMPORTS edges: the first function of each importing file to the exported functions it imports.
 
-    ``imports`` holds (file, module)."""
+    ``imports`` holds (file, key) as the extractors give them. An import reaches the functions of the file, folder
+    or package that its key names; one that names code outside the project reaches none."""
     by_file = Window.partitionBy("file").orderBy("start_line", "ordinal")
     heads = functions.withColumn("_n", F.row_number().over(by_file)).where("_n = 1").select("file", F.col("node_id").alias("src"))
-    targets = functions.where("exported").select("module", F.col("node_id").alias("dst"))
-    pairs = imports.join(heads, "file").join(targets, "module").where("src <> dst").select("src", "dst").distinct()
+    keys = F.array(
+        F.concat(F.lit("file:"), F.regexp_replace("file", "\\.[^./]*$", "")),
+        F.concat(F.lit("dir:"), F.col("module")),
+        F.when((F.col("language") == "java") & (F.col("package") != ""), F.concat(F.lit("pkg:"), F.col("package"))),
+    )
+    targets = functions.where("exported").select(F.explode(keys).alias("key"), F.col("node_id").alias("dst"))
+    pairs = imports.distinct().join(targets, "key").join(heads, "file").where("src <> dst").select("src", "dst").distinct()
     return pairs.select(F.xxhash64("src", "dst", F.lit("IMPORTS")).alias("edge_id"), "src", "dst", F.lit("IMPORTS").alias("label"), F.lit(None).cast("map<string,string>").alias("data_shape"))
 
 

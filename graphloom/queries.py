@@ -478,3 +478,9 @@ def resolve_sources(spark, d):
 def breaks_arity(spark, d):
     extracted = materialize(frames.extract_files(_sources(spark, d)), "extracted")
     return resolve.mismatched_calls(frames.function_table(extracted), frames.call_site_table(extracted))
+
+
+@query("import_edges")
+def import_edges(spark, d):
+    extracted = materialize(frames.extract_files(_sources(spark, d)), "extracted")
+    return resolve.import_edges(frames.function_table(extracted), frames.import_table(extracted))

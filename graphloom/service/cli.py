@@ -20,7 +20,7 @@ from graphloom.session import local_session
 
 _WITH_FUNCTION = ("callers", "contract", "impact", "breaks", "test-coverage")
 _WITH_MODULE = ("exports", "domain")
-_PLAIN = ("entry-points", "domains", "coupling", "untested", "summary")
+_PLAIN = ("entry-points", "domains", "coupling", "untested", "summary", "mismatches")
 
 
 def format_functions(items: list[dict]) -> str:
@@ -54,6 +54,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--strict-parity", action="store_true")
     b.add_argument("--same-language", action="store_true")
     b.add_argument("--configured-languages", action="store_true")
+    b.add_argument("--imports", action="store_true")
     commands.add_parser("parse").add_argument("file")
     q = commands.add_parser("query").add_subparsers(dest="query", required=True)
     for name in _WITH_FUNCTION:
@@ -89,7 +90,7 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
         return 0
     spark = spark or local_session()
     if a.command == "build":
-        _, result = build(spark, Options(a.root, a.scope, strict_parity=a.strict_parity, same_language=a.same_language, configured_languages=a.configured_languages))
+        _, result = build(spark, Options(a.root, a.scope, strict_parity=a.strict_parity, same_language=a.same_language, configured_languages=a.configured_languages, imports=a.imports))
         out.write(summary(result))
         return 0
     if a.command == "watch":
@@ -111,6 +112,11 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
         for row in run(graph, a.text).toLocalIterator():
             out.write(json.dumps(row.asDict(True), default=str) + "\n")
         return 0
+    if a.query == "mismatches":
+        rows = spark.read.parquet(f"{graph_path(a.root)}/mismatches").orderBy("caller_file", "line", "called_name", "caller_qualified")
+        for r in rows.toLocalIterator():
+            out.write(f"  {r.caller_qualified}\n    {r.caller_file}:{r.line}  {r.called_name} takes {r.least} to {r.most}, given {r.arg_count}\n")
+        return 0
     args = {"limit": 0} | {k: v for k in ("function", "module", "depth") if (v := getattr(a, k, None)) is not None}
     try:
         result = Tools(graph).call({"summary": "graph_summary"}.get(a.query, a.query.replace("-", "_")), args)

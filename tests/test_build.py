@@ -4,7 +4,7 @@ import json
 import fixtures as fx
 import pytest
 from graphloom import config as cfg
-from graphloom.extract.frames import call_site_table, extract_files, function_table
+from graphloom.extract.frames import call_site_table, extract_files, function_table, import_table
 from graphloom.graph import CodeGraph
 from graphloom.plans.build import Options, build, summary
 from graphloom.plans.resolve import data_shape, import_edges, mismatched_calls, resolve
@@ -95,7 +95,7 @@ def test_resolver_options(spark):
     assert pairs(wide) == {("./Run", "./go_"), ("./go_", "./Run"), ("./other", "./Run")} and pairs(narrow) == pairs(wide)
     assert wide.count() == 3
     assert {(r.caller_qualified, r.called_name, r.arg_count) for r in mismatched_calls(f, calls).collect()} == {("./Run", "go_", 1), ("./other", "Run", 3)}
-    imports = import_edges(f, spark.createDataFrame([("b.py", ".")], "file string, module string"))
+    imports = import_edges(f, spark.createDataFrame([("b.py", "dir:."), ("b.py", "file:nowhere"), ("b.py", "dir:.")], "file string, key string"))
     assert imports.count() == 2 and imports.first().label == "IMPORTS"
     assert f.select(data_shape().alias("d")).where("size(d) > 0").count() == 1
 
@@ -125,9 +125,24 @@ def test_command_line(spark, project, built, capsys):
     assert run(spark, project, "parse", str(project / "tools/x.rb"))[0] == 1
     assert '"f.name": "addUp"' in run(spark, project, "pattern", "MATCH (f {name: 'addUp'}) RETURN f.name")[1]
     assert run(spark, project, "init")[0] == 0
+    assert " takes " in run(spark, project, "query", "mismatches")[1]
     assert run(spark, project / "nothing", "query", "untested")[0] == 1
 
 
+def test_imports(spark, project):
+    graph, _ = build(spark, Options(str(project), imports=True, out=str(project / "with_imports")))
+    assert graph.edges.where("label = 'IMPORTS'").count() == 0  # nothing in the project imports the project
+    files = [
+        ("a/x.go", "go", b'package a\nimport (\n\t"fmt"\n\tq "example.com/m/b/c"\n)\nfunc X() {}\n'), ("b/c/y.go", "go", b"package c\nfunc Y() {}\nfunc z() {}\n"), ("p/m.py", "python", b"from .n import f as g\nimport os, p.k\ndef m(): pass\n"),
+        ("p/n.py", "python", b"def f(): pass\n"), ("p/k.py", "python", b"def k(): pass\n"), ("j/A.java", "java", b"package j.a;\nimport static j.b.B.go;\nclass A { void a() {} }\n"), ("j/B.java", "java", b"package j.b;\nclass B { public static void go() {} }\n"),
+        ("w/u.ts", "typescript", b"import { v } from '../w/v';\nimport 'react';\nfunction u() {}\n"), ("w/v.ts", "typescript", b"export function v() {}\n"),
+    ]
+    extracted = extract_files(spark.createDataFrame(files, "path string, language string, content binary")).cache()
+    f = function_table(extracted)
+    names = {r.node_id: r.name for r in f.collect()}
+    assert {(names[r.src], names[r.dst]) for r in import_edges(f, import_table(extracted)).collect()} == {("X", "Y"), ("m", "f"), ("m", "k"), ("a", "go"), ("u", "v")}
+
+
 def test_watch(spark, tmp_path):
     fx.write_project(tmp_path)
     results = watch(spark, str(tmp_path), once=True)
