@@ -15,7 +15,7 @@ from graphloom.graph import CodeGraph, graph_meta
 from graphloom.operators.modules import contract_coverage
 from graphloom.plans.resolve import edge_table, import_edges, mismatched_calls, resolve
 from graphloom.sources import walk
-from graphloom.storage import materialize, release
+from graphloom.storage import materialize, temporary
 
 #: fixed values: languages by the extensions that aren't supported yet
 COMING = {".rb": "Ruby", ".rs": "Rust", ".cs": "C#", ".kt": "Kotlin", ".swift": "Swift"}
@@ -54,6 +54,11 @@ def build(spark: SparkSession, options: Options) -> tuple[CodeGraph, Result]:
 
     Each file is read and parsed once: records and call sites come from one pass and are kept in the shared
     folder for the joins. Files that can't be read or parsed are listed in the ``errors`` table."""
+    with temporary():
+        return _build(spark, options)
+
+
+def _build(spark: SparkSession, options: Options) -> tuple[CodeGraph, Result]:
     began = time.time()
     config = cfg.init(options.root)
     files = materialize(walk.scan(spark, options.root, config.exclude, scope=options.scope), "files")
@@ -80,7 +85,6 @@ def build(spark: SparkSession, options: Options) -> tuple[CodeGraph, Result]:
     result.languages = walk.found_languages(files)
     result.coverage = {r.contract_completeness: r.functions for r in contract_coverage(stored.functions).collect()}  # three kinds
     result.skipped = {r.ext: r.n_files for r in walk.skipped_extensions(files).orderBy(F.desc("n_files"), "ext").limit(1000).collect()}
-    release(files, extracted, functions)
     result.seconds = time.time() - began
     return stored, result
 

@@ -226,6 +226,11 @@ def code_graph(spark, d) -> CodeGraph:
     return CodeGraph.with_defaults(fn, edges)
 
 
+def stored(g: CodeGraph) -> CodeGraph:
+    """The graph as written tables, for queries that pass over the edges more than once."""
+    return CodeGraph(materialize(g.functions, "functions"), materialize(g.edges, "edges"), g.meta)
+
+
 GRAPH_SQL = """
 with recursive fn as (select fn_id as node_id, * exclude (fn_id, is_test), coalesce(is_test, false) as is_test from (
   select *, row_number() over (partition by fn_id order by loaded_at desc nulls last, collected_at desc nulls last) as rn from functions where fn_id is not null) where rn = 1),
@@ -278,13 +283,13 @@ for _depth in (1, 3, 5):
         f""", reach(node_id, depth) as (select node_id, 0 from fn where name = '{NAME}'
   union select e.src, reach.depth + 1 from reach join e on e.dst = reach.node_id where reach.depth < {_depth})
 select distinct fn.qualified_name from reach join fn using (node_id) where reach.depth > 0""",
-    )(lambda g, n=_depth: closure.impact(g, NAME, n).select("qualified_name"))
+    )(lambda g, n=_depth: closure.impact(stored(g), NAME, n).select("qualified_name"))
 graph_query(
     "callees_d2",
     f""", reach(node_id, depth) as (select node_id, 0 from fn where name = '{NAME}'
   union select e.dst, reach.depth + 1 from reach join e on e.src = reach.node_id where reach.depth < 2)
 select distinct fn.qualified_name from reach join fn using (node_id) where reach.depth > 0""",
-)(lambda g: closure.callees(g, NAME, 2).select("qualified_name"))
+)(lambda g: closure.callees(stored(g), NAME, 2).select("qualified_name"))
 
 _PAGE_SQL = "select t.node_id, t.name, (select count(*) from fn) as total_count from (select node_id, name from fn order by name nulls first, node_id limit {limit} offset {offset}) t"
 for _page, _options in {"page_first": Options(50, 0), "page_mid": Options(50, 1200), "page_past_end": Options(50, 100_000_000)}.items():
@@ -316,6 +321,13 @@ graph_query("contract_coverage", "select contract_completeness, count(*) as func
 graph_query("node_edge_counts", "select (select count(*) from fn) as nodes, (select count(*) from ae) as edges")(
     lambda g: g.functions.agg(F.count(F.lit(1)).alias("nodes")).withColumn("k", F.lit(1)).join(g.edges.agg(F.count(F.lit(1)).alias("edges")).withColumn("k", F.lit(1)), "k").drop("k")
 )
+
+
+def _subgraph(g):
+    tagged = lambda df, part: df.select(F.lit(part).alias("part"), "qualified_name")
+    return tagged(lookup.contract(g, NAME), "center").unionByName(tagged(lookup.callers(g, NAME), "callers")).unionByName(tagged(closure.impact(g, NAME, 2), "callees"))
+
+
 graph_query(
     "subgraph",
     f""", reach(node_id, depth) as (select node_id, 0 from fn where name = '{NAME}'
@@ -324,11 +336,9 @@ select 'center' as part, fn.qualified_name from fn join one using (node_id)
 union all select 'callers', fn.qualified_name from e join one on e.dst = one.node_id join fn on fn.node_id = e.src
 union all select distinct 'callees', fn.qualified_name from reach join fn using (node_id) where reach.depth > 0""",
 )(
-    lambda g: lookup.contract(g, NAME).select(F.lit("center").alias("part"), "qualified_name")
-    .unionByName(lookup.callers(g, NAME).select(F.lit("callers").alias("part"), "qualified_name"))
-    .unionByName(closure.impact(g, NAME, 2).select(F.lit("callees").alias("part"), "qualified_name"))
+    lambda g: _subgraph(stored(g))
 )
-QUERIES["communities"] = lambda spark, d: modules.communities(code_graph(spark, d))
+QUERIES["communities"] = lambda spark, d: modules.communities(stored(code_graph(spark, d)))
 
 # ---------------------------------------------------------------- graph patterns
 
@@ -372,7 +382,7 @@ _PATTERNS = {
     "cy_large_limit": ("MATCH (f:Function) RETURN f.label AS label LIMIT 1000", "select 'Function' as label from fn limit 1000"),
 }
 for _name, (_text, _sql) in _PATTERNS.items():
-    graph_query(_name, _sql)(lambda g, t=_text: pattern.run(g, t))
+    graph_query(_name, _sql)(lambda g, t=_text: pattern.run(stored(g) if "*1" in t or "*2" in t else g, t))
 graph_query("cy_params", "select node_id from fn where name = 'get' and module = 'auth'")(lambda g: pattern.run(g, "MATCH (f {name: $n}) WHERE f.module = $m RETURN f.node_id AS node_id", {"n": "get", "m": "auth"}))
 QUERIES["cy_meta"] = lambda spark, d: (
     lambda g: pattern.run(CodeGraph(g.functions, g.edges, graph_meta(spark, g.functions)), "MATCH (m:GraphMeta) RETURN m.function_count AS function_count, m.file_count AS file_count")

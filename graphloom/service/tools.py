@@ -11,6 +11,7 @@ from graphloom import schema
 from graphloom.graph import CodeGraph, NotFound
 from graphloom.operators import closure, lookup, modules
 from graphloom.operators.paging import DEFAULT_LIMIT, Options, Page, paginate
+from graphloom.storage import temporary
 
 ORDER = ["file", "start_line", "qualified_name"]
 _KEYS = dict(zip(schema.INFO, ("Name", "QualifiedName", "File", "StartLine", "EndLine", "Module", "Exported", "Tag", "Contract", "Completeness")))
@@ -42,7 +43,8 @@ class Tools:
     def call(self, name: str, args: dict) -> object:
         if name not in self.calls:
             raise LookupError(f"unknown tool: {name}")
-        return self.calls[name](args)
+        with temporary():
+            return self.calls[name](args)
 
     # ------------------------------------------------------------ results
 

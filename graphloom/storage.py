@@ -7,8 +7,10 @@ Every intermediate table is written as Parquet under the folder the cluster name
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,17 @@ def release(*frames: DataFrame) -> None:
             _delete(path, _written.pop(path, None))
 
 
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """Deletes at its end all tables written inside: for callers that collect or save their result in it."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in set(_written) - before:
+            _delete(path, _written.pop(path, None))
+
+
 def _delete(path: str, spark: SparkSession | None) -> None:
     if spark is None:
         return
