@@ -76,8 +76,8 @@ _VALUE = {"name": "text", "type": "text", "type_expr": "text", "nullable": "flag
 
 
 def contract_hash(parameters: Column, returns: Column) -> Column:
-    """Digest of parameters and returns; null, empty list, empty string and false are one, and returns
+    """16-byte digest of parameters and returns; null, empty list, empty string and false are one, and returns
     without values equal null returns."""
     values = _items(returns["values"], _VALUE, _FIELD)
     many = F.when(F.size(values) > 0, _flag(returns["multiple"])).otherwise(F.lit(False))
-    return F.sha2(F.to_json(F.struct(_items(parameters, _PARAM, _FIELD).alias("p"), many.alias("m"), values.alias("v"))), 256)
+    return F.unhex(F.md5(F.to_json(F.struct(_items(parameters, _PARAM, _FIELD).alias("p"), many.alias("m"), values.alias("v")))))
