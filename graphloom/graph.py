@@ -70,9 +70,9 @@ class CodeGraph:
 
     def save(self, path: str) -> None:
         """Full overwrite. Functions are clustered by name and edges by target, so that Parquet's statistics
-        skip what a lookup doesn't ask for."""
-        self.functions.repartitionByRange("name").sortWithinPartitions("name", "file", "start_line", "ordinal").write.mode("overwrite").parquet(f"{path}/functions")
-        self.edges.repartitionByRange("dst").sortWithinPartitions("dst", "src").write.mode("overwrite").parquet(f"{path}/edges")
+        skip what a lookup doesn't ask for; a name or target with many rows spreads over several files."""
+        self.functions.repartitionByRange("name", "file", "start_line").sortWithinPartitions("name", "file", "start_line", "ordinal").write.mode("overwrite").parquet(f"{path}/functions")
+        self.edges.repartitionByRange("dst", "src").sortWithinPartitions("dst", "src").write.mode("overwrite").parquet(f"{path}/edges")
         meta = self.meta if self.meta is not None else graph_meta(self.spark, self.functions)
         meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
