@@ -34,6 +34,7 @@ def test_scan(spark, project):
     assert got["web/desk.test.ts"] == ("typescript", ".ts") and got["Makefile"] == ("", "")
     assert {(r.ext, r.n_files) for r in walk.skipped_extensions(files).collect()} == {(".rb", 1), (".gitignore", 1)}
     assert walk.found_languages(files) == ["go", "java", "typescript", "python"]
+    assert {r.language for r in walk.scan(spark, str(project), cfg.DEFAULT_EXCLUDE, languages=["go"]).collect()} == {"go"}
     assert {r.path for r in walk.scan(spark, str(project), [], scope="shop").select("path").collect()} == {"shop/basket.go", "shop/basket_test.go"}
     read = walk.with_content(files.where("ext = '.rb' or path = 'Makefile'"), str(project)).collect()
     assert {r.path: bytes(r.content) for r in read} == {"tools/x.rb": b"puts 1\n", "Makefile": b"all:\n"}
