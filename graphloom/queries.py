@@ -50,10 +50,10 @@ t3 as (select record_id, case when json_type(j -> 'record') = 'OBJECT' then j ->
 r as (select record_id, {_opened_sql("x")} as x from (select record_id, j -> 'returns' as x from t3)),
 m as (select record_id, 'parameters' as branch, j -> 'parameters' as x from t3 union all select record_id, 'returns', case json_type(x) when 'ARRAY' then x when 'OBJECT' then x -> 'values' end from r),
 o as (select record_id, branch, {_opened_sql("x")} as x from m), l as (select record_id, branch, {_list_sql("x")} as l from o),
-e as (select record_id, branch, pos, {_opened_sql("x")} as x from (select record_id, branch, unnest(l) as x, unnest(generate_series(0, len(l) - 1)) as pos from l)),
+e as (select record_id, branch, pos, {_opened_sql("x")} as x from (select record_id, branch, unnest(l) as x, unnest(generate_series(0, len(l) - 1))::int as pos from l)),
 p as (select * from e where json_type(x) = 'OBJECT'),
 f as (select record_id, branch, pos, {_opened_sql("x")} as x from (select record_id, branch, pos, x -> 'expanded' as x from p)), g as (select record_id, branch, pos, {_list_sql("x")} as l from f),
-h as (select record_id, branch, pos, sub_pos, {_opened_sql("x")} as x from (select record_id, branch, pos, unnest(l) as x, unnest(generate_series(0, len(l) - 1)) as sub_pos from g))
+h as (select record_id, branch, pos, sub_pos, {_opened_sql("x")} as x from (select record_id, branch, pos, unnest(l) as x, unnest(generate_series(0, len(l) - 1))::int as sub_pos from g))
 """
 
 
