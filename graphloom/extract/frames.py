@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom import schema
 from graphloom.extract import LANGUAGES, extract_all
 from graphloom.functions.paths import dirname
+from graphloom.shipping import ship
 
 
 def _extractor(strict_parity: bool):
@@ -32,6 +33,7 @@ def _extractor(strict_parity: bool):
 
 def extract_files(files: DataFrame, strict_parity: bool = False) -> DataFrame:
     """``(file, records, calls, imports, error)``: one row per supported file."""
+    ship(files.sparkSession)
     supported = files.where(F.col("language").isin(*LANGUAGES)).select("path", "language", "content")
     return supported.mapInPandas(_extractor(strict_parity), f"file string, records array<{schema.RECORD}>, calls array<{schema.CALL_SITE}>, imports array<string>, error string")
 

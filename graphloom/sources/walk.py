@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.config import TOOL_DIR
 from graphloom.functions.paths import basename, extension, glob_regex, language
+from graphloom.shipping import ship
 
 
 def load_gitignore(root: str) -> list[str]:
@@ -101,6 +102,7 @@ def list_files(spark: SparkSession, root: str, exclude: list[str] = (), gitignor
 
     out = spark.createDataFrame(files, "path string, size bigint")
     if frontier:
+        ship(spark)
         folders = spark.createDataFrame([(d,) for d in frontier], "folder string").repartition(len(frontier))
         out = out.unionByName(folders.mapInPandas(descend, "path string, size bigint"))
     return out.where(~ignored_file(F.col("path"), gitignore))
@@ -116,6 +118,7 @@ def scan(spark: SparkSession, root: str, exclude: list[str] = (), gitignore: lis
 
 def with_content(files: DataFrame, root: str) -> DataFrame:
     """Adds ``content`` to scanned files; unreadable ones get null. Read by as many tasks as the files ask for."""
+    ship(files.sparkSession)
     tasks = max(1, -(-files.count() // FILES_PER_TASK))
 
     def read(batches):
