@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.shipping import ship
+
 RUN_WORDS, RUN_CHARS, SHARE, SLACK = 12, 20, 0.75, 1.5
 #: most characters of item text in one block of the query set
 BLOCK_CHARS = 8_000_000
@@ -171,6 +173,7 @@ def _blocks(items: DataFrame, item_id: str, text: str, lang: str) -> Iterator[li
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", lang: str = "lang") -> DataFrame:
     """``(doc_id, item_id)`` of every post and each item it repeats."""
+    ship(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["id"]
     parts = []

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.shipping import ship
 from graphloom.storage import materialize
 
 TOKENIZER = os.environ.get("GRAPHLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -66,6 +67,7 @@ def _counter(path: str):
 
 def token_sizes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``(doc_id, n_tokens)`` of all posts."""
+    ship(df.sparkSession)
     rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(_counter(tokenizer), f"id {dict(rows.dtypes)['id']}, n_tokens bigint").withColumnRenamed("id", doc_id)
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.shipping import ship
+
 _BREAK = re.compile(r"\r\n|[\n\r\x85  ]")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})([^\n]*)$")
 _BULLET = re.compile(r"\s{0,3}(?:[-*+•‣▪]\s+)")
@@ -400,5 +402,6 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, start_pos, end_pos)``: one row per sentence of every post."""
+    ship(df.sparkSession)
     rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(_scan, f"id {dict(rows.dtypes)['id']}, start_pos bigint, end_pos bigint").withColumnRenamed("id", doc_id)
