@@ -1 +1 @@
-"""See the package README."""
+"""Operators over DataFrames: graph queries, and the data operators of the core."""

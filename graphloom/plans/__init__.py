@@ -1 +1 @@
-"""See the package README."""
+"""Plans that combine operators: call resolution and the build."""

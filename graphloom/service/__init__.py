@@ -1 +1 @@
-"""See the package README."""
+"""Command line and JSON-RPC service."""
