@@ -288,7 +288,7 @@ class _Unit:
         nxt, low = text[n], re.split("['’]", word.lower())[-1]  # an elided article may stand before it
         if not word:
             return False
-        if len(word) == 1 and word.isalpha() and (word.isupper() or re.match(r"[^\W\d_]\.", text[n : n + 2]) or re.search(r"(?:^|\s)[^\W\d_]\.\s+$", text[max(began, i - 6) : i])) and low not in CAPITAL:
+        if len(word) == 1 and word.isalpha() and (word.isupper() or self.lowered or re.match(r"[^\W\d_]\.", text[n : n + 2]) or re.search(r"(?:^|\s)[^\W\d_]\.\s+$", text[max(began, i - 6) : i])) and low not in CAPITAL:
             return True
         if low in NUMBERED and (nxt.isdigit() or len(low) == 1 and nxt.islower()):
             return True

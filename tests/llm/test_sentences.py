@@ -15,6 +15,7 @@ CASES = {
     "no space": ("It works!!Then it fails. Why?It is odd.", 4),
     "lower case": ("why does it fail? it works here! the end. all good", 4),
     "no capitals": ("it waits... then fails... the end. \"stop it. now!\" and left. \"it helps.\" we go on ... or not", 5),
+    "no capitals, initials": ("m. roux et mme petit lisent. j. r. stone of hill inc. left. am 2. märz auch.", 3),
     "smiley": ("It works. :-) Next one 😀\nis here. Last :)", 3),
     "link": ("See https://a.example/x.y?z=1.5 for it. Next.\n\nhttps://b.example/q", 3),
     "file names": ("Open conf.yaml and node.js. Then main.go! Use `a.b(). C` now.", 3),
