@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     key = id(spark.sparkContext)
     if key not in _fallback:
-        _fallback[key] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        folder = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _fallback[key] = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(_fallback[key])
     return _fallback[key]
 
