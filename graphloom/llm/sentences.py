@@ -72,6 +72,9 @@ _LEXICON = FINAL | NOT_FINAL | OPENING_ON
 _LONGEST = max(map(len, _LEXICON))
 
 
+_SPACELESS = re.compile("[\u3005\u3006\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\u0e00-\u0e7f\uf900-\ufaff\U00020000-\U000323af]+")
+
+
 def spaceless(ch: str) -> bool:
     """Han, kana and Thai letters (and their marks)."""
     c = ord(ch)
@@ -123,8 +126,8 @@ class _Unit:
         self.masked.sort()
         self.from_ = [a for a, _ in self.masked]
         self.spans = self._nesting()
-        letters = [c for c in body if c.isalpha()]
-        self.dense = sum(map(spaceless, letters)) * 2 > len(letters)
+        dense = "".join(_SPACELESS.findall(body))
+        self.dense = bool(dense) and sum(map(str.isalpha, dense)) * 2 > sum(map(str.isalpha, body))
 
     def is_masked(self, at: int) -> bool:
         i = bisect_right(self.from_, at) - 1
@@ -380,8 +383,8 @@ def segment(text: str | None) -> list[tuple[int, int]]:
     """Ranges of the text's sentences, in order; together they cover all characters but white space."""
     out, text = [], text or ""
     units = list(_units(text))
-    prose = [c for kind, a, b, _ in units if kind == "text" for c in _URL.sub("", _CODE.sub("", text[a:b])) if c.isupper() or c.islower()]
-    lowered = bool(prose) and not any(map(str.isupper, prose))
+    prose = "\n".join(_URL.sub("", _CODE.sub("", text[a:b])) for kind, a, b, _ in units if kind == "text")
+    lowered = prose == prose.lower() != prose.upper()
     for kind, a, b, mark in units:
         cuts = [a, *(_Unit(text, a, b, mark, lowered).ends() if kind == "text" else []), b]
         out += [r for x, y in zip(cuts, cuts[1:]) if (r := _trimmed(text, x, y))]
