@@ -7,9 +7,10 @@ only as the start of a comment line. Third-party copies are known by the folder,
 naming project, version and authors, or by five-word shingles at least 0.8 similar to such a file.
 
 One Arrow pass computes all statistics next to the scan. The similarity step joins min-hash bands of
-distinct contents (copies are one class, however many there are) with at most two representatives per band and
-size class, as only sizes within a factor of 1.25 can be 0.8 similar, and compares exactly only those pairs.
-A band shared by a third of all files so costs a few pairs per class.
+distinct contents (copies are one class, however many there are) within a size class, as only sizes within a
+factor of 1.25 can be 0.8 similar, and compares the pairs exactly. First come two representatives per band and
+size class, so that a band shared by a third of all files costs a few pairs per class; each content that they don't
+prove is then compared with all proven contents of its bands, in parts of bounded size where these are many.
 
 Defined results
     * null, empty or blank content: hand-written, unless its folder is a third-party one.
@@ -80,6 +81,8 @@ _BREAK = re.compile(r"\r\n|\r|\n")
 _WORD = re.compile(r"\w+")
 
 SHINGLE, BANDS, ROWS = 5, 20, 5
+#: proven contents of one band and size class that one key of the join holds, about
+PART = 1000
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 2**61, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 2**61, BANDS * ROWS, dtype=np.uint64)
@@ -198,6 +201,17 @@ def _shingle_column(texts):
     return texts.map(lambda t: shingles(t or "").view(np.int64).tolist())
 
 
+def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``(digest)`` of the contents that are similar enough to a known one they are paired with."""
+    pairs = materialize(pairs.select("digest", "known").distinct(), "pairs")
+    needed = pairs.select("digest").union(pairs.select(F.col("known").alias("digest"))).distinct()
+    texts = texts.join(needed, "digest", "left_semi").groupBy("digest").agg(F.first("content").alias("content"))
+    sets = materialize(texts.select("digest", _shingle_column("content").alias("s")), "sets")
+    both = pairs.join(sets, "digest").join(sets.select(F.col("digest").alias("known"), F.col("s").alias("t")), "known")
+    shared = F.size(F.array_intersect("s", "t"))
+    return materialize(both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("digest").distinct(), "alike")
+
+
 def classify(df: DataFrame, file_id: str = "file_id", path: str = "file", language: str = "language", content: str = "content", scanned: str = "scanned_at", similarity: float = 0.8) -> DataFrame:
     """``(file_id, kind)`` of all files: kind is 'generated', 'minified', 'data', 'vendored' or 'hand-written'."""
     ship(df.sparkSession)
@@ -212,16 +226,17 @@ def classify(df: DataFrame, file_id: str = "file_id", path: str = "file", langua
     classes = files.where(F.size("bands") > 0).groupBy("digest").agg(F.max("evidence").alias("evidence"), F.first("bands").alias("bands"), F.first("size").alias("size"))
     classes = materialize(classes, "classes")
     keyed = classes.select("digest", "evidence", "size", F.explode("bands").alias("band"))
-    known = keyed.where("evidence").groupBy("band", "size").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
-    known = known.select("band", "size", F.explode(F.array_distinct(F.array("a", "b"))).alias("known"))
+    known = keyed.where("evidence").select("band", "size", F.col("digest").alias("known"))
     near = keyed.where(~F.col("evidence")).select("digest", "band", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"))
-    pairs = materialize(near.join(known, ["band", "size"]).select("digest", "known").distinct(), "pairs")
-    needed = pairs.select("digest").union(pairs.select(F.col("known").alias("digest"))).distinct()
-    texts = rows.select("digest", "content").join(needed, "digest", "left_semi").groupBy("digest").agg(F.first("content").alias("content"))
-    sets = materialize(texts.select("digest", _shingle_column("content").alias("s")), "sets")
-    both = pairs.join(sets, "digest").join(sets.select(F.col("digest").alias("known"), F.col("s").alias("t")), "known")
-    shared = F.size(F.array_intersect("s", "t"))
-    alike = both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("digest").distinct()
+    groups = known.groupBy("band", "size").agg(F.min("known").alias("a"), F.max("known").alias("b"), F.count(F.lit(1)).alias("n"))
+    first = groups.select("band", "size", F.explode(F.array_distinct(F.array("a", "b"))).alias("known"))
+    texts = rows.select("digest", "content")
+    alike = _alike(near.join(first, ["band", "size"]), texts, similarity)
+    # what no representative proved meets all others of its bands
+    more = groups.where("n > 2").select("band", "size", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    rest = near.join(alike, "digest", "left_anti").join(more, ["band", "size"]).select("digest", "band", "size", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    others = known.join(more, ["band", "size"]).select("known", "band", "size", F.pmod(F.hash("known"), "parts").alias("part"))
+    alike = alike.union(_alike(rest.join(others, ["band", "size", "part"]), texts, similarity))
     proven = classes.where("evidence").select("digest").union(alike).withColumn("copied", F.lit(True))
     out = files.join(proven, "digest", "left")
     kind = F.when(F.col("evidence") | F.coalesce("copied", F.lit(False)), "vendored").otherwise(F.coalesce("kind", F.lit("hand-written")))

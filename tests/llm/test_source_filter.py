@@ -1,5 +1,9 @@
+import hashlib
+import math
 import random
+from unittest import mock
 
+from graphloom.llm import source_filter
 from graphloom.llm.source_filter import bands, classify, excluded_folders, layout_kind, licensed, marked, shingles, statistics, vendored_path
 
 NAMES = [f"{a}{b}" for a in ("order", "user", "cart", "stock", "price", "report", "ticket", "wallet") for b in ("Id", "Name", "Total", "State", "Code")]
@@ -66,6 +70,27 @@ def test_table(spark):
     assert classify(df.limit(0)).count() == 0
 
 
+def test_middle_version_proves_its_copy(spark):
+    """Of many versions only one is similar enough, and its digest is neither the least nor the greatest in any band."""
+    rng, lines, middle = random.Random(8), hand(21, 210).split("\n"), 13
+    versions = ["\n".join(lines[k * 3 : k * 3 + 120]) for k in range(30)]
+    own = versions[middle].split("\n")
+    for i in rng.sample(range(120), 6):
+        own[i] = f"{rng.choice(NAMES)} = patched{i}(a, b)"
+    copy = "\n".join(own)
+    sets = [set(shingles(t).tolist()) for t in (*versions, copy)]
+    assert [k for k in range(30) if len(sets[k] & sets[30]) / len(sets[k] | sets[30]) >= 0.8] == [middle]
+    digests, sizes, keys = [hashlib.md5(v.encode()).hexdigest() for v in versions], [int(math.log(len(s), 1.25)) for s in sets], [set(bands(shingles(v))) for v in versions]
+    shared = [[digests[k] for k in range(30) if band in keys[k] and sizes[k] == sizes[middle]] for band in keys[middle] & set(bands(shingles(copy)))]
+    assert shared and all(min(group) < digests[middle] < max(group) for group in shared)
+    data = [(i, f"vendor/lib{i}/a.py", "python", v, None) for i, v in enumerate(versions)] + [(100, "src/a.py", "python", copy, None), (101, "src/own.py", "python", hand(12), None)]
+    df = spark.createDataFrame(data, "file_id bigint, file string, language string, content string, scanned_at timestamp")
+    for part in (1000, 3):  # in one part, and in several
+        with mock.patch.object(source_filter, "PART", part):
+            got = {r.file_id: r.kind for r in classify(df).collect()}
+        assert got[100] == "vendored" and got[101] == "hand-written"
+
+
 def test_excluded_folders(spark):
     df = spark.createDataFrame([(1, 1, ["old"], None), (1, 2, [" ./vendor/ ", "vendor", "", None, "dist"], None), (2, 1, None, None), (3, 1, [], None), (None, 1, ["x"], None)], "repo_id bigint, version int, exclude array<string>, updated_at timestamp")
     assert {(r.repo_id, r.folder) for r in excluded_folders(df).collect()} == {(1, "vendor"), (1, "dist")}
