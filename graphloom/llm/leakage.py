@@ -1,17 +1,18 @@
 """Held-out items that turn up in a corpus, whole or in part, by a prefix-filtered set join.
 
 A post repeats an item if it holds a run of consecutive item tokens (12 words, or 20 characters of zh and
-ja text), or at least three quarters of the item's tokens in the item's order within a window of the
-item's size. Only letters and digits count, case doesn't.
+ja text), or at least three quarters of the item's tokens in the item's order: anywhere in the post
+(``slack=None``, as the queries have it), or within a window of ``slack`` times the item's size. Only
+letters and digits count, case doesn't.
 
 1. Rarity: one pass counts in how many posts each item token occurs (per-batch counts, then one small
    shuffle of at most as many rows as the items have tokens, times batches).
 2. Prefixes: an ordered match of t of an item's n tokens must contain one of its n - t + 1 rarest tokens,
    so a post whose tokens miss this prefix can't match. A run must contain one of the item's shingles.
-3. Bounds: by length (a post with fewer than t tokens of the item is out) and by position (some window of
-   the item's size must hold t of them).
+3. Bounds: by length (a post with fewer than t tokens of the item is out) and, with windows, by position
+   (some window must hold t of them).
 4. Exact check: runs are extended token by token; ordered matches are counted by a bit-parallel longest
-   common subsequence over every window that passed the bounds.
+   common subsequence over all places of the item's tokens, or over every window that passed the bounds.
 
 The items are a stated query set and are taken in blocks of bounded size, each shipped with the tasks of
 one narrow pass over the corpus: no shuffle of the corpus, nothing about posts reaches the driver.
@@ -61,6 +62,7 @@ class Items:
     vocabulary: dict[str, int] = field(default_factory=dict)
     prefix: dict[int, list[int]] = field(default_factory=lambda: defaultdict(list))  # token -> items
     shingles: dict[tuple[int, ...], list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
+    slack: float | None = SLACK  # size of a window in items; None: the whole post
 
     def add(self, item: int, tokens: list[str]) -> None:
         if not tokens:
@@ -105,7 +107,14 @@ class Items:
         for i, t in enumerate(want):
             masks[t] |= 1 << i
         at = [i for i, t in enumerate(ids) if t in masks]  # places of the item's tokens
-        width, full = int(len(want) * SLACK) + 1, (1 << len(want)) - 1
+        full = (1 << len(want)) - 1
+        if self.slack is None:
+            row = full
+            for i in at:
+                m = row & masks[ids[i]]
+                row = ((row + m) | (row - m)) & full
+            return len(want) - row.bit_count() >= need
+        width = int(len(want) * self.slack) + 1
         for k in range(len(at) - need + 1):
             if at[k + need - 1] - at[k] >= width:
                 continue  # no window from here holds enough of them
@@ -171,14 +180,14 @@ def _blocks(items: DataFrame, item_id: str, text: str, lang: str) -> Iterator[li
         yield block
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", lang: str = "lang") -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", lang: str = "lang", slack: float | None = SLACK) -> DataFrame:
     """``(doc_id, item_id)`` of every post and each item it repeats."""
     ship(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["id"]
     parts = []
     for block in _blocks(items, item_id, item_text, lang):
-        by_word, by_char = Items(RUN_WORDS), Items(RUN_CHARS)
+        by_word, by_char = Items(RUN_WORDS, slack=slack), Items(RUN_CHARS, slack=slack)
         for item, body, language in block:
             dense = (language or "").lower()[:2] in ("zh", "ja") or len(_DENSE.findall(body)) * 2 > len("".join(words(body)))
             (by_char if dense else by_word).add(item, characters(body) if dense else words(body))

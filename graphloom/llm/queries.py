@@ -66,13 +66,13 @@ def p6_report(spark, d):
 
 @query("p7_found")
 def p7_found(spark, d):
-    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), slack=None)
 
 
 @query("p7_report")
 def p7_report(spark, d):
     items = table(spark, d, "eval_items")
-    return leakage.leak_report(leakage.leaked_items(table(spark, d, "documents"), items), items)
+    return leakage.leak_report(leakage.leaked_items(table(spark, d, "documents"), items, slack=None), items)
 
 
 # ---------------------------------------------------------------- 8 sentences

@@ -1,6 +1,7 @@
 import random
 
 from graphloom.llm.leakage import Items, characters, leak_report, leaked_items, words
+from graphloom.llm.queries import p7_found
 
 ITEM = "On the following morning the map engraver loads 921 chalk markers and 304 pear crates while two apprentices fall ill near the old mill"
 CJK = "翌朝塩の商人は春の洪水が下の門に届く間に七十八枚の杉板と四百十袋の大麦を並べます"
@@ -45,6 +46,35 @@ def test_items_against_brute_force():
     assert 20 < hits < 140
 
 
+def test_whole_post_against_brute_force():
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(40)]
+    hits = wide = 0
+    for _ in range(150):
+        item = [rng.choice(vocabulary) for _ in range(rng.randint(4, 30))]
+        post = [rng.choice(vocabulary + ["zz"] * 30) for _ in range(rng.randint(0, 20))]
+        for w in item:
+            if rng.random() > 0.2:
+                post += [w] + [rng.choice(vocabulary + ["zz"] * 100) for _ in range(rng.choice([0, 0, 1, 6]))]
+        index = Items(12, slack=None)
+        index.add(1, item)
+        index.order({w: rng.randint(0, 5) for w in vocabulary})
+        want = brute(item, post, 12) or lcs(item, post) * 4 >= 3 * len(item)
+        assert (1 in index.found(post)) == want
+        hits += want
+        wide += want and not brute(item, post, 12)
+    assert 20 < hits < 140 and wide > 10
+
+
+def test_query_takes_the_whole_post(spark, tmp_path):
+    w = ITEM.split()
+    pieces = ["\n> " + " ".join(w[i : i + 6]) + "\n\nAn answer of quite a few more words stands below each quoted piece here.\n" for i in range(0, len(w), 6)]
+    docs = [(1, "".join(pieces)), (2, "".join(reversed(pieces))), (3, "".join(pieces[:2]))]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "en", ITEM)], "item_id bigint, lang string, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    assert [tuple(r) for r in p7_found(spark, str(tmp_path)).collect()] == [(1, 1)]
+
+
 def test_tokens():
     assert words("The <b>miller's</b> cart_ &amp; [x](https://a.b/c) Straße") == ["the", "miller", "s", "cart", "x", "strasse"]
     assert characters("翌朝、 塩") == list("翌朝塩")
