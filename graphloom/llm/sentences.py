@@ -7,8 +7,9 @@ Thai, space is a gap to be classified:
 * spaced scripts: the lattice of terminators, with masks for links and inline code, nesting of quotes and
   brackets, abbreviations, initials, ordinals, versions, and the case or opening word of what follows;
 * spaceless scripts: a word lattice (least-cost path over a dictionary of closed-class words, unknown
-  characters at a higher cost) gives the word before and the word behind the gap; final particles
-  and opening words decide.
+  characters at a higher cost; over 16 characters on each side of the gap) gives the word before and the
+  word behind the gap. At an ellipsis, a word that can't be final before it or an opening word behind it
+  goes on; a final particle before it outweighs the opening words that only stand behind nouns.
 
 Everything is local to a post, so the operator is one Arrow pass next to the scan, without a shuffle.
 
@@ -68,6 +69,8 @@ NOT_FINAL = frozenset(
     "以后 之后 以前 之前 时候 时 后 前 里 中 和 与 或 但是 但 因为 如果 就是 比如 例如 那个 这个 而且 所以 然后 对 把 被 在 从 到 の は が を に へ で と も や から まで では には とは のは ので のに けど けれど ば たら なら และ หรือ แต่ ที่ ของ ใน".split()
 )
 OPENING_ON = frozenset("说 问 道 写 想 喊 答 叫 然后 接着 就 便 后 又 と って という との とか など とは は が を に も の で ๆ ฯลฯ".split())
+#: fixed values: those of them that a finished predicate can't have behind it (はい, もう begin another sentence)
+NOUN_ON = frozenset("は を に も で".split())
 _LEXICON = FINAL | NOT_FINAL | OPENING_ON
 _LONGEST = max(map(len, _LEXICON))
 
@@ -258,8 +261,10 @@ class _Unit:
         strong = any(c in _STRONG for c in run)
         if not strong and (len(run) > 1 or run == "…"):
             if dense and not thai(nxt):
-                before = _word_before(text, a)
-                return None if before in NOT_FINAL or not (before in FINAL or spaceless(text[a - 1])) else pos
+                before, behind = _word_before(text, a), _word_behind(text, n)
+                if behind in OPENING_ON and not (before in FINAL and behind in NOUN_ON):
+                    return None
+                return None if before in NOT_FINAL or not spaceless(text[a - 1]) else pos
             apart = a > began and text[a - 1].isspace()  # set off on both sides, it stands within a sentence
             return None if not gap or apart or self._goes_on(n, gap) else pos
         if strong:

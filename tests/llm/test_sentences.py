@@ -43,6 +43,15 @@ def test_number_of_sentences(name):
     assert len(found) == n, found
 
 
+@pytest.mark.parametrize(
+    "text, n",
+    [("他想了想……然后走了。好", 2), ("按下按钮……就停了。", 1), ("再试一次……便好了", 1), ("設定を変える……と直ります。", 1), ("動きます……が遅いです。", 1), ("动了……我们走。", 2), ("動きます……はい、直りました。", 2), ("動きます……もう直りました。", 2), ("画面……は動きます。", 1)],
+)
+def test_words_around_an_ellipsis(text, n):
+    found = [text[a:b] for a, b in segment(text)]
+    assert len(found) == n, found
+
+
 def test_ranges():
     text = "  He left. \n\n\"She stayed.\" - item"
     assert [text[a:b] for a, b in segment(text)] == ["He left.", "\"She stayed.\" - item"]
