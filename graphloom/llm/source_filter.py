@@ -72,6 +72,8 @@ _DATA = re.compile(
     r"""[\s\[\]{}(),;+]*+(?:(?:-?+\.?+\d[\w.+-]*+|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|true|false|null|nil|None)[\s\[\]{}(),;:+]*+)++$"""
 )
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*+"|\'(?:[^\'\\]|\\.)*+\'')
+# a string of one of these kinds of quotes; a group holds the closing one, if there is one
+_OPENED = {kinds: re.compile("|".join(rf"{q}(?:[^{q}\\]|\\.)*+({q})?" for q in kinds)) for kinds in ("\"'", '"', "'")}
 _NAME = re.compile(r"[^\W\d]\w*")
 _NUMBER = re.compile(r"\d+")
 # runs of any length: each is consumed once, and only long ones count
@@ -88,12 +90,23 @@ _MUL = _rng.integers(1, 2**61, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 2**61, BANDS * ROWS, dtype=np.uint64)
 
 
+def without_strings(line: str) -> str:
+    """The line as ``_STRING.sub("s", line)`` gives it, in linear time: behind a quote that isn't closed, no other of its kind is."""
+    out, at, kinds = [], 0, "\"'"
+    while kinds and (m := _OPENED[kinds].search(line, at)):
+        quote, closed = m[0][0], m.lastindex is not None
+        out += [line[at : m.start()], "s" if closed else quote]
+        at = m.end() if closed else m.start() + 1
+        kinds = kinds if closed else kinds.replace(quote, "")
+    return "".join(out) + line[at:]
+
+
 def statistics(text: str) -> dict[str, float]:
     """Layout statistics of one file."""
     lines = [x for x in _BREAK.split(text) if x.strip()]
     code = [x for x in lines if not _COMMENT.match(x)]
     chars = sum(map(len, code)) or 1
-    shapes = [_NUMBER.sub("0", _NAME.sub("w", _STRING.sub("s", x))).strip() if len(x) < 2000 else x[:200] for x in code]
+    shapes = [_NUMBER.sub("0", _NAME.sub("w", _STRING.sub("s", x) if len(x) < 2000 else without_strings(x))).strip() for x in code]
     period = 0.0
     for p in range(1, 13):
         if len(shapes) >= 3 * p:

@@ -4,7 +4,7 @@ import random
 from unittest import mock
 
 from graphloom.llm import source_filter
-from graphloom.llm.source_filter import bands, classify, excluded_folders, layout_kind, licensed, marked, shingles, statistics, vendored_path
+from graphloom.llm.source_filter import _STRING, bands, classify, excluded_folders, layout_kind, licensed, marked, shingles, statistics, vendored_path, without_strings
 
 NAMES = [f"{a}{b}" for a in ("order", "user", "cart", "stock", "price", "report", "ticket", "wallet") for b in ("Id", "Name", "Total", "State", "Code")]
 
@@ -48,6 +48,23 @@ def test_statistics_in_linear_time():
     assert statistics(long)["max_line"] > 600_000
 
 
+def test_long_lines_have_shapes():
+    block = "  read{n}(x) {{\n    const v = [{calls}];\n    return v;\n  }}\n"
+    long = lambda i: ", ".join(f"x.get{NAMES[(i + j) % 40]}({i * j % 97}, '{NAMES[i * j % 40]}')" for j in range(90))
+    text = "export class M {\n" + "".join(block.format(n=NAMES[i], calls=long(i)) for i in range(30)) + "}\n"
+    assert min(map(len, text.split("\n")[2::4][:30])) > 2000
+    assert statistics(text)["long_200"] < 0.3 and layout_kind(text, "typescript") == "generated"
+    assert layout_kind(hand(1) + "T = " + "a + 'b' + " * 300 + "c\n", "python") is None
+
+
+def test_without_strings():
+    rng = random.Random(3)
+    for _ in range(3000):
+        line = "".join(rng.choice(["'", '"', "\\", "a", " ", '\\"']) for _ in range(rng.randint(0, 14)))
+        assert without_strings(line) == _STRING.sub("s", line)
+    assert len(without_strings('\\"' * 400_000)) == 800_000
+
+
 def test_bands_agree_with_similarity():
     a = hand(3, 200)
     b = a.replace("log.warning", "log.error", 2)
