@@ -4,7 +4,7 @@ Thresholds on layout statistics, set per language: share of long lines (minified
 in lines of literals and long encoded runs (data), and periodicity of the normalised line shapes
 (generated code repeats a short block of lines; hand-written code doesn't). A generator's marker counts
 only as the start of a comment line. Third-party copies are known by the folder, by the licence header
-naming project, version and authors, or by five-word shingles at least 0.8 similar to such a file.
+naming project, version and authors in the comments above the code, or by five-word shingles at least 0.8 similar to such a file.
 
 One Arrow pass computes all statistics next to the scan. The similarity step joins min-hash bands of
 distinct contents (copies are one class, however many there are) within a size class, as only sizes within a
@@ -47,7 +47,8 @@ MARKERS = re.compile(
     | automatisch\ (?:erzeugt|generiert) | fichier\ (?:engendré|généré) | archivo\ generado | generado\ autom )"""
 )
 NEGATED = re.compile(r"(?i)\b(?:no longer|any ?more|not generated|this file may be)\b")
-LICENCE = re.compile(r"(?is)^\W*([\w.-]+)\s+v?\d+(?:\.\d+)+\W+copyright\s+\(c\)\s+\d{4}\s+the\s+\1\s+authors")
+# a line that begins with the project; each start is tried in linear time, however long a banner is
+LICENCE = re.compile(r"(?im)^(?:[^\w\n]*+|[^\w\n]*?(?<![.-])(?=[.-]))([\w.-]++)\s++v?\d++(?:\.\d++)++\W++copyright\s++\(c\)\s++\d{4}\s++the\s++\1\s++authors")
 
 
 @dataclass(frozen=True)
@@ -67,6 +68,11 @@ class Limits:
 LIMITS = {"java": Limits(long_line=220), "python": Limits(long_line=180), "go": Limits(), "javascript": Limits(), "typescript": Limits()}
 
 _COMMENT = re.compile(r"\s*(?://|\#|/\*|\*|<!--)")
+_MARK = re.compile(r"^\s*(?:/\*+|\*+/?|//+|#+)\s?")
+_NO_WORD = re.compile(r"\W*")
+_OPENING = re.compile(r"""\s*[rRuU]?("{3}|'{3}|/\*|<!--)""")
+_CLOSINGS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+_PREAMBLE = re.compile(r"""\s*(?:package\s+[\w.]+\s*;?\s*(?://.*)?$|<\?(?:php|xml)\b|<!doctype\b|@charset\b|(["'])use strict\1\s*;?\s*$)""", re.I)
 # possessive throughout: a line that isn't all literals fails in one pass, however long it is
 _DATA = re.compile(
     r"""[\s\[\]{}(),;+]*+(?:(?:-?+\.?+\d[\w.+-]*+|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|true|false|null|nil|None)[\s\[\]{}(),;:+]*+)++$"""
@@ -161,10 +167,30 @@ def vendored_path(path: str | None) -> bool:
     return bool(path) and any(part in VENDOR_FOLDERS for part in path.replace("\\", "/").lower().split("/")[:-1])
 
 
+def leading(lines: list[str]) -> Iterator[str]:
+    """The lines before the first one of code; what has to stand above a header is passed over."""
+    closing = None
+    for line in lines:
+        if closing is None:
+            opened = _OPENING.match(line)
+            if opened:
+                closing = _CLOSINGS[opened[1]]
+            elif _PREAMBLE.match(line):
+                continue
+            elif line.strip() and not _COMMENT.match(line):
+                return
+        yield line
+        if closing and closing in (line[opened.end() :] if opened else line):
+            closing = None
+        opened = None
+
+
 def licensed(text: str) -> bool:
     """A header that names another project, its version and its authors."""
-    head = "\n".join(re.sub(r"^\s*(?:/\*+|\*+/?|//+|#+)\s?", "", x) for x in _BREAK.split(text[:2000])[:15])
-    return bool(LICENCE.match(head))
+    lines = _BREAK.split(text.removeprefix("\ufeff"))
+    body = "\n".join(lines)
+    first = body.rfind("\n", 0, _NO_WORD.match(body).end()) + 1  # with marks of any language
+    return bool(LICENCE.match(body, first) or LICENCE.search("\n".join(_MARK.sub("", x) for x in leading(lines))))
 
 
 def shingles(text: str) -> np.ndarray:

@@ -43,6 +43,18 @@ def test_evidence():
     assert licensed("/*\n * left-pad 1.2.3\n * Copyright (c) 2012 the left-pad authors\n */\nx") and not licensed("// Copyright (c) the project. Internal use.\nx") and not licensed("")
 
 
+def test_licence_anywhere_above_the_code():
+    header = "left-pad 1.2.3\nCopyright (c) 2012 the left-pad authors\n"
+    hashed, starred = "".join(f"# {x}\n" for x in header.splitlines()), "/*\n" + "".join(f" * {x}\n" for x in header.splitlines()) + " */\n"
+    for above in ("#!/usr/bin/env python\n", "# -*- coding: utf-8 -*-\n", "\n" * 40, "# " + "-" * 3000 + "\n", "# Lines of a banner.\n" * 150, "\ufeff", '"""Docstring\nof two lines."""\n'):
+        assert licensed(above + hashed + "x = 1\n"), above
+    for above in ("package a.b;\n\n", "package b\n", '"use strict";\n', "<?php\n", "// tool: off\n\n", "/* One\ncomment */\n"):
+        assert licensed(above + starred + "x()\n") and licensed(above.replace("\n", "\r\n") + "/*\r\n" + header.replace("\n", "\r\n") + "*/\r\n"), above
+    assert licensed('"""\n' + header + '"""\n') and licensed("-- " + header.replace("\n", "\n-- ")) and licensed("%%%%\n% " + header)
+    assert not licensed("x = 1\n" + hashed) and not licensed("package b\nimport c\n" + starred) and not licensed("# Works like left-pad 1.2.3\n# Copyright (c) 2012 the right-pad authors\n")
+    assert not licensed("# " + "-" * 300_000 + "\n" + "#\n" * 100_000 + "# " + "a.1 " * 100_000)
+
+
 def test_statistics_in_linear_time():
     long = "x = [" + "1234567890abcdef" * 40_000 + "!\n" + '"' + "a'" * 50_000 + "\n" + "\\x41" * 50_000
     assert statistics(long)["max_line"] > 600_000
