@@ -165,8 +165,8 @@ def p3_profile(spark, d):
 # ---------------------------------------------------------------- 5 hierarchies
 
 
-def _hierarchy(spark, d):
-    return hierarchy.decompose(table(spark, d, "call_links"), "caller_qualified", "callee_qualified", "seen_at")
+def _hierarchy(spark, d, intervals=False):
+    return hierarchy.decompose(table(spark, d, "call_links"), "caller_qualified", "callee_qualified", "seen_at", intervals)
 
 
 _TREES_SQL = """
@@ -202,7 +202,7 @@ def p5_paths(spark, d):
 
 @query("p5_below", _TREES_SQL + "select a.a as node, a.n as below, t.depth - a.ad as distance from above a join tree t on t.n = a.n where a.a <> a.n")
 def p5_below(spark, d):
-    return hierarchy.descendants(_hierarchy(spark, d))
+    return hierarchy.descendants(_hierarchy(spark, d, intervals=True))
 
 
 # ---------------------------------------------------------------- the code graph of the test tables

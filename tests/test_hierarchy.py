@@ -2,7 +2,8 @@ import random
 
 import brute
 import pytest
-from graphloom.operators.hierarchy import decompose, descendants, full_paths
+from graphloom.operators.hierarchy import ancestor_pairs, decompose, descendants, full_paths
+from pyspark.sql import functions as F
 
 
 def run(spark, links):
@@ -53,3 +54,20 @@ def test_small(spark, links):
 def test_two_callers_keep_the_last(spark):
     df = spark.createDataFrame([("a", "c", 1), ("b", "c", 2), ("z", "c", 1)], "p string, c string, at int")
     assert {r.node: r.root for r in decompose(df, "p", "c", "at").collect()}["c"] == "b"
+
+
+def test_joins_have_as_many_candidates_as_results(spark):
+    """A chain of 10,000 with 100,000 leaves at its top: the leaves' paths touch only the places above them."""
+    links = spark.range(1, 10_000).selectExpr("concat('d', id - 1) as p", "concat('d', id) as c")
+    leaves = spark.range(100_000).selectExpr("concat('d', id % 3) as p", "concat('w', id) as c")
+    h = decompose(links.union(leaves), "p", "c", intervals=True).where("state = 'tree'").cache()
+    depths = h.agg(F.sum("depth").alias("d"), F.count("*").alias("n")).first()
+    assert depths.n == 110_000
+    leaf = h.where("node like 'w%'")
+    places = leaf.select(F.explode("segments").alias("s")).agg(F.sum(F.col("s.pos") + 1).alias("n")).first().n
+    paths = ancestor_pairs(h, leaf)
+    assert paths.count() == places == leaf.agg(F.sum(F.col("depth") + 1)).first()[0]
+    assert "SortMergeJoin" not in paths._jdf.queryExecution().toString() or "pos <= " not in paths._jdf.queryExecution().toString()
+    below = descendants(h.where("node like 'w%' or depth > 9990"))
+    assert below.count() == 8 * 9 // 2
+    h.unpersist()

@@ -1,6 +1,9 @@
 import os
+import threading
+import types
 
-from graphloom.storage import materialize, release, shared_dir, temporary
+import pytest
+from graphloom.storage import counted, materialize, release, shared_dir, temporary
 
 
 def local(df):
@@ -22,3 +25,33 @@ def test_temporary_tables_end_with_their_block(spark):
         assert inner.count() == 0 and inner.dtypes == [("id", "bigint")] and os.path.exists(local(inner))
     assert not os.path.exists(local(inner)) and kept.count() == 3
     release(kept)
+
+
+def test_counts_and_folders(spark):
+    t = materialize(spark.range(10).selectExpr("id", "id % 2 = 0 as even"), by="even", count="even")
+    assert counted(t) == 5 == t.where("even").count() and counted(materialize(spark.range(3))) == 3 and counted(materialize(spark.range(0))) == 0
+
+
+def test_blocks_of_other_threads_keep_their_tables(spark):
+    made, go, done = [], threading.Event(), threading.Event()
+
+    def other():
+        with temporary():
+            made.append(materialize(spark.range(4)))
+            go.set()
+            done.wait(30)
+
+    with temporary():
+        t = threading.Thread(target=other)
+        t.start()
+        go.wait(30)
+    assert made[0].count() == 4
+    done.set()
+    t.join()
+    assert not os.path.exists(local(made[0]))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    session = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=types.SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session)
