@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import CodeGraph
+from graphloom.operators.hot_keys import ranked, ranked_id
 from graphloom.operators.lookup import untested
-from graphloom.storage import materialize, release
+from graphloom.storage import counted, materialize, release
 
 
 def _named_modules(functions: DataFrame) -> DataFrame:
@@ -75,22 +76,36 @@ def coverage_percent(g: CodeGraph) -> DataFrame:
 
 
 def communities(g: CodeGraph, rounds: int = 5) -> DataFrame:
-    """``(node_id, community)`` by label propagation: each round a node takes the most frequent label among
-    its neighbours and itself, the smallest among equals. Deterministic; ends early when nothing moves."""
+    """``(node_id, community, settled)`` by label propagation: each round a node takes the most frequent label among
+    its neighbours and itself, the smallest among equals. Deterministic; ends early when nothing moves.
+
+    Labels can swing for ever between neighbours, so ``rounds`` bounds them; settled tells of each node whether
+    the last round left its label as it was."""
     both = g.calls().select("src", "dst").where("src <> dst")
     links = materialize(both.union(both.select("dst", "src")).distinct(), "links")
-    state = materialize(g.functions.select("node_id", F.col("node_id").alias("community")), "labels")
+    state = materialize(g.functions.select("node_id", F.col("node_id").alias("community"), F.lit(rounds > 0).alias("moved")), "labels")
     for _ in range(rounds):
         votes = links.join(state.select(F.col("node_id").alias("src"), "community"), "src").select(F.col("dst").alias("node_id"), "community")
-        counted = votes.unionByName(state.select("node_id", "community")).groupBy("node_id", "community").agg(F.count(F.lit(1)).alias("n"))
-        best = counted.groupBy("node_id").agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("next"))
-        fresh = materialize(state.join(best, "node_id").select("node_id", F.col("next").alias("community"), (F.col("next") != F.col("community")).alias("moved")), "labels")
-        still = fresh.where("moved").isEmpty()
+        tally = votes.unionByName(state.select("node_id", "community")).groupBy("node_id", "community").agg(F.count(F.lit(1)).alias("n"))
+        best = tally.groupBy("node_id").agg(F.max(ranked(F.col("n"), -F.col("community"))).alias("r")).select("node_id", (-ranked_id(F.col("r"))).alias("next"))
+        fresh = materialize(state.join(best, "node_id").select("node_id", F.col("next").alias("community"), (F.col("next") != F.col("community")).alias("moved")), "labels", count=F.col("moved"))
+        still = not counted(fresh)
         release(state)
         state = fresh
         if still:
             break
-    return state.select("node_id", "community")
+    return state.select("node_id", "community", (~F.col("moved")).alias("settled"))
+
+
+def drift(g: CodeGraph, labels: DataFrame) -> DataFrame:
+    """``(module, functions, drifted)``: how many of a module's functions belong by their calls to another module.
+
+    ``labels`` holds (node_id, community); a community's home is the module of most of its functions, the first by name
+    among equals."""
+    placed = _named_modules(g.functions).select("node_id", "module").join(labels.select("node_id", "community"), "node_id")
+    counts = placed.groupBy("community", "module").agg(F.count(F.lit(1)).alias("n"))
+    homes = counts.groupBy("community").agg(F.min_by("module", F.struct(-F.col("n"), "module")).alias("home"))
+    return counts.join(homes, "community").groupBy("module").agg(F.sum("n").alias("functions"), F.sum(F.when(F.col("module") != F.col("home"), F.col("n")).otherwise(0)).alias("drifted"))
 
 
 def cohesion(g: CodeGraph) -> DataFrame:

@@ -39,6 +39,20 @@ def page_frame(df: DataFrame, order: list, options: Options = Options()) -> Data
     return out.limit(options.limit) if options.limit > 0 else out
 
 
+def page_after(df: DataFrame, order: list[str], last: list | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """The next page behind the row whose ``order`` columns hold ``last`` (null sorts first): a filter and a top-k.
+
+    However far the page lies behind the first, no task keeps more than ``limit`` rows; an offset keeps all before it."""
+    if last is not None:
+        behind, same = F.lit(False), F.lit(True)
+        for name, value in zip(order, last):
+            c = F.col(name)
+            behind = behind | (same & (c.isNotNull() if value is None else F.coalesce(c > F.lit(value), F.lit(False))))
+            same = same & c.eqNullSafe(F.lit(value))
+        df = df.where(behind)
+    return df.orderBy(*order).limit(limit)
+
+
 def paginate(df: DataFrame, order: list, options: Options = Options()) -> Page:
     """Rows ``[offset, offset + limit)`` with the total. A limit of 0 or less means all rows; a negative
     offset counts as 0, one beyond the end as the end."""

@@ -1,6 +1,8 @@
 """Syntax tree of a pattern query to a DataFrame plan over a graph's tables.
 
-Each path is a chain of equality joins; a bounded path of one or more links is the closure's trails. Labels,
+Each path is a chain of equality joins. A path of lo..hi links gives a row for each of its trails (no edge twice);
+under RETURN DISTINCT without aggregates only the set of its ends counts, which walks give in bounded work (for lo > 1
+a walk may pass an edge again). A path that only its last node narrows is read from there. Labels,
 inline properties and WHERE terms of one node filter its scan before it joins, and only columns that the query
 names are read. Values are bound as literals, never spliced into text."""
 
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import CodeGraph
-from graphloom.operators.closure import trails
+from graphloom.operators.closure import trails, walk_ends
 from graphloom.pattern.parser import Link, Match, Node, Param, PatternError, Query, parse
 
 
@@ -111,8 +113,8 @@ class _Plan:
         first = m.nodes[0]
         out = self.nodes(first, terms.get(first.name)) if start is None else start
         seen = {first.name}
-        for link, node in zip(m.links, m.nodes[1:]):
-            left = f"{m.nodes[m.links.index(link)].name}#"
+        for left_node, link, node in zip(m.nodes, m.links, m.nodes[1:]):
+            left = f"{left_node.name}#"
             out = self._step(out, left, link, node, terms, node.name in seen or (start is not None and f"{node.name}#" in start.columns))
             seen.add(node.name)
         return out
@@ -121,7 +123,8 @@ class _Plan:
         target = f"{node.name}#"
         if link.variable:
             starts = out.select(F.col(left).alias("node_id")).distinct()
-            paths = trails(self._edges(link), starts, link.lo, link.hi).select(F.col("start_id").alias(left), F.col("node_id").alias("_to"))
+            ends = walk_ends if self.query.distinct and not any(r.function for r in self.query.returns) else trails
+            paths = ends(self._edges(link), starts, link.lo, link.hi).select(F.col("start_id").alias(left), F.col("node_id").alias("_to"))
             out = out.join(paths, left)
         else:
             hop = self._edges(link).select(F.col("src").alias("_from"), F.col("dst").alias("_to"), F.struct("edge_id", "src", "dst", "label", "data_shape").alias(f"{link.name}@"))
@@ -137,6 +140,8 @@ class _Plan:
         for m in self.query.matches:
             single, rest = _split(m.where, {n.name for n in m.nodes} - ({c[:-1] for c in out.columns if c.endswith("#")} if out is not None else set()))
             if out is None:
+                if any(x.variable for x in m.links) and self._narrow(m.nodes[-1], single) and not self._narrow(m.nodes[0], single):
+                    m = _reversed(m)
                 out = self.match(m, None, single)
                 if rest is not None:
                     out = out.where(self._condition(rest, self._bound))
@@ -145,7 +150,7 @@ class _Plan:
             if not shared:
                 raise PatternError("paths of one query must share a node")
             if m.nodes[0].name not in shared and not m.optional and m.nodes[-1].name in shared:
-                m = Match(m.nodes[::-1], [Link(x.name, x.types, {"out": "in", "in": "out"}.get(x.direction, "both"), x.lo, x.hi, x.variable) for x in m.links[::-1]], m.optional, m.where)
+                m = _reversed(m)
             if not m.optional:
                 out = self.match(m, out, single)
                 if rest is not None:
@@ -163,6 +168,10 @@ class _Plan:
             out = out.join(part.drop(*again), [f"{s}#" for s in shared], "left")
         return out
 
+    @staticmethod
+    def _narrow(node: Node, single: dict[str, list]) -> bool:
+        return bool(node.props) or node.name in single
+
     @staticmethod
     def _bound(name: str, prop: str) -> Column:
         return F.col(f"`{name}.{prop}`")
@@ -216,6 +225,10 @@ class _Plan:
         return out.drop(*[c for c in out.columns if c.startswith("_order")])
 
 
+def _reversed(m: Match) -> Match:
+    return Match(m.nodes[::-1], [Link(x.name, x.types, {"out": "in", "in": "out"}.get(x.direction, "both"), x.lo, x.hi, x.variable) for x in m.links[::-1]], m.optional, m.where)
+
+
 def _props(term) -> list[tuple[str, str]]:
     if term is None:
         return []

@@ -21,6 +21,10 @@ from graphloom.storage import materialize, temporary
 COMING = {".rb": "Ruby", ".rs": "Rust", ".cs": "C#", ".kt": "Kotlin", ".swift": "Swift"}
 
 
+#: extensions that the summary names; the graph's ``skipped`` table holds all
+SHOWN = 50
+
+
 @dataclass
 class Options:
     root: str
@@ -40,6 +44,7 @@ class Result:
     languages: list[str] = field(default_factory=list)
     coverage: dict[str, int] = field(default_factory=dict)
     skipped: dict[str, int] = field(default_factory=dict)
+    skipped_extensions: int = 0
     errors: int = 0
     seconds: float = 0.0
     graph_path: str = ""
@@ -84,7 +89,10 @@ def _build(spark: SparkSession, options: Options) -> tuple[CodeGraph, Result]:
     result.errors = spark.read.parquet(f"{path}/errors").count()
     result.languages = walk.found_languages(files)
     result.coverage = {r.contract_completeness: r.functions for r in contract_coverage(stored.functions).collect()}  # three kinds
-    result.skipped = {r.ext: r.n_files for r in walk.skipped_extensions(files).orderBy(F.desc("n_files"), "ext").limit(1000).collect()}
+    walk.skipped_extensions(files).write.mode("overwrite").parquet(f"{path}/skipped")
+    skipped = spark.read.parquet(f"{path}/skipped")  # whole; the summary shows its first page
+    result.skipped = {r.ext: r.n_files for r in skipped.orderBy(F.desc("n_files"), "ext").limit(SHOWN).collect()}
+    result.skipped_extensions = skipped.count()
     result.seconds = time.time() - began
     return stored, result
 
@@ -94,4 +102,6 @@ def summary(r: Result) -> str:
     if r.coverage:
         lines.append("  Contracts: " + ", ".join(f"{n} {k}" for k, n in sorted(r.coverage.items())))
     lines += [f"  Skipped {n} {ext} files ({COMING.get(ext, ext)} support coming)" for ext, n in sorted(r.skipped.items())]
+    if r.skipped_extensions > len(r.skipped):
+        lines.append(f"  Skipped files of {r.skipped_extensions - len(r.skipped)} more extensions")
     return "\n".join([*lines, f"  Graph:     {r.graph_path}"]) + "\n"

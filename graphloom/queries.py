@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom import config, pattern
+from graphloom import config, goldens, pattern, schema
 from graphloom.extract import frames
 from graphloom.functions import paths
 from graphloom.graph import CodeGraph, graph_meta
 from graphloom.operators import closure, hierarchy, hot_keys, lookup, modules, shred, snapshots
-from graphloom.operators.paging import Options, with_total
+from graphloom.operators.paging import Options, page_after, with_total
 from graphloom.plans import resolve
 from graphloom.session import table
 from graphloom.sources import walk
@@ -319,15 +319,10 @@ where a.module <> '' and b.module <> '' group by a.module""",
 )(lambda g: modules.cohesion(g))
 graph_query("contract_coverage", "select contract_completeness, count(*) as functions from fn group by contract_completeness")(lambda g: modules.contract_coverage(g.functions))
 graph_query("node_edge_counts", "select (select count(*) from fn) as nodes, (select count(*) from ae) as edges")(
-    lambda g: g.functions.agg(F.count(F.lit(1)).alias("nodes")).withColumn("k", F.lit(1)).join(g.edges.agg(F.count(F.lit(1)).alias("edges")).withColumn("k", F.lit(1)), "k").drop("k")
+    lambda g: g.spark.createDataFrame([(g.node_count(), g.edge_count())], "nodes bigint, edges bigint")
 )
 
 
-def _subgraph(g):
-    tagged = lambda df, part: df.select(F.lit(part).alias("part"), "qualified_name")
-    return tagged(lookup.contract(g, NAME), "center").unionByName(tagged(lookup.callers(g, NAME), "callers")).unionByName(tagged(closure.impact(g, NAME, 2), "callees"))
-
-
 graph_query(
     "subgraph",
     f""", reach(node_id, depth) as (select node_id, 0 from fn where name = '{NAME}'
@@ -336,15 +331,49 @@ select 'center' as part, fn.qualified_name from fn join one using (node_id)
 union all select 'callers', fn.qualified_name from e join one on e.dst = one.node_id join fn on fn.node_id = e.src
 union all select distinct 'callees', fn.qualified_name from reach join fn using (node_id) where reach.depth > 0""",
 )(
-    lambda g: _subgraph(stored(g))
+    lambda g: lookup_subgraph(stored(g))
 )
-QUERIES["communities"] = lambda spark, d: modules.communities(stored(code_graph(spark, d)))
+
+
+def lookup_subgraph(g):
+    return closure.subgraph(g, NAME, 2, true_callees=False).select("part", "qualified_name")
+
+
+graph_query("page_after", "select node_id, name from fn where name > 'handle' or name = 'handle' and node_id > 0 order by name, node_id limit 50")(
+    lambda g: page_after(g.functions.select("node_id", "name"), ["name", "node_id"], ["handle", 0], 50)
+)
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Label propagation, one common table a round."""
+    out = ", links as materialized (select distinct s, t from (select src as s, dst as t from e where src <> dst union all select dst, src from e where src <> dst)), l0 as materialized (select node_id, node_id as community from fn)"
+    for i in range(rounds):
+        out += f""", l{i + 1} as materialized (select node_id, community from (select node_id, community, count(*) as n from
+  (select t as node_id, community from links join l{i} on l{i}.node_id = s union all select node_id, community from l{i}) group by all) qualify row_number() over (partition by node_id order by n desc, community) = 1)"""
+    return out
+
+
+graph_query("communities", _rounds_sql(5) + " select a.node_id, a.community, a.community = b.community as settled from l5 a join l4 b using (node_id)")(lambda g: modules.communities(stored(g)))
+graph_query(
+    "drift",
+    _rounds_sql(5)
+    + """, c as (select community, module, count(*) as n from l5 join fn using (node_id) where module <> '' group by all),
+h as (select community, module as home from c qualify row_number() over (partition by community order by n desc, module) = 1)
+select module, sum(n)::bigint as functions, coalesce(sum(n) filter (where module <> home), 0)::bigint as drifted from c join h using (community) group by module""",
+)(lambda g: (lambda kept: modules.drift(kept, modules.communities(kept)))(stored(g)))
 
 # ---------------------------------------------------------------- graph patterns
 
+
+
+def _walk_sql(name: str, least: int, most: int) -> str:
+    return f""", w(a, b, h) as (select src, dst, 1 from e join fn on fn.node_id = e.src where fn.name = '{name}' union select w.a, e.dst, w.h + 1 from w join e on e.src = w.b where w.h < {most})
+select distinct a, b from w where h >= {least}"""
+
+
 _PATTERNS = {
     "cy_node_props": ("MATCH (f:Function {name: 'handle', exported: true}) RETURN f.node_id AS node_id, f.name AS name", "select node_id, name from fn where name = 'handle' and exported"),
-    "cy_any_label_limit": ("MATCH (f {name: 'handle'}) RETURN f.name AS name LIMIT 3", "select name from fn where name = 'handle' limit 3"),
+    "cy_any_label_limit": ("MATCH (f {name: 'handle'}) RETURN f.node_id AS node_id, f.name AS name ORDER BY f.node_id LIMIT 3", "select node_id, name from fn where name = 'handle' order by node_id limit 3"),
     "cy_project": ("MATCH (f:Function) RETURN f.name AS name, f.module AS module", "select name, module from fn"),
     "cy_hop": (
         "MATCH (a:Function {name: 'handle'})-[:CALLS]->(b:Function {exported: true}) RETURN a.node_id AS a, b.node_id AS b",
@@ -379,14 +408,21 @@ _PATTERNS = {
         "select f.node_id, x.name as test from fn f left join (select e.dst, t.name from e join fn t on t.node_id = e.src where t.is_test) x on x.dst = f.node_id where f.module = 'auth'",
     ),
     "cy_count": ("MATCH (a)-[:CALLS]->(b) RETURN b.module AS module, count(*) AS n", "select b.module as module, count(*) as n from e join fn a on a.node_id = e.src join fn b on b.node_id = e.dst group by b.module"),
-    "cy_large_limit": ("MATCH (f:Function) RETURN f.label AS label LIMIT 1000", "select 'Function' as label from fn limit 1000"),
+    "cy_large_limit": ("MATCH (f:Function) RETURN f.node_id AS node_id, f.label AS label ORDER BY f.node_id LIMIT 1000", "select node_id, 'Function' as label from fn order by node_id limit 1000"),
+    "cy_var_length_2_6": ("MATCH (a {name: 'describe'})-[:CALLS*2..6]->(b) RETURN DISTINCT a.node_id AS a, b.node_id AS b", _walk_sql("describe", 2, 6)),
+    "cy_var_length_5_15": ("MATCH (a {name: 'describe'})-[:CALLS*5..15]->(b) RETURN DISTINCT a.node_id AS a, b.node_id AS b", _walk_sql("describe", 5, 15)),
+    "cy_var_length_where": (
+        "MATCH (a)-[:CALLS*1..3]->(b {name: 'describe'}) WHERE a.exported = true RETURN DISTINCT a.node_id AS a, b.node_id AS b",
+        """, w(a, b, h) as (select src, dst, 1 from e join fn on fn.node_id = e.dst where fn.name = 'describe' union select e.src, w.b, w.h + 1 from w join e on e.dst = w.a where w.h < 3)
+select distinct a, b from w join fn on fn.node_id = w.a where fn.exported""",
+    ),
 }
 for _name, (_text, _sql) in _PATTERNS.items():
-    graph_query(_name, _sql)(lambda g, t=_text: pattern.run(stored(g) if "*1" in t or "*2" in t else g, t))
+    graph_query(_name, _sql)(lambda g, t=_text: pattern.run(stored(g) if ":CALLS*" in t else g, t))
 graph_query("cy_params", "select node_id from fn where name = 'get' and module = 'auth'")(lambda g: pattern.run(g, "MATCH (f {name: $n}) WHERE f.module = $m RETURN f.node_id AS node_id", {"n": "get", "m": "auth"}))
-QUERIES["cy_meta"] = lambda spark, d: (
-    lambda g: pattern.run(CodeGraph(g.functions, g.edges, graph_meta(spark, g.functions)), "MATCH (m:GraphMeta) RETURN m.function_count AS function_count, m.file_count AS file_count")
-)(code_graph(spark, d))
+graph_query("cy_meta", "select count(*) as function_count, count(distinct file) as file_count from fn")(
+    lambda g: pattern.run(CodeGraph(g.functions, g.edges, graph_meta(g.spark, g.functions)), "MATCH (m:GraphMeta) RETURN m.function_count AS function_count, m.file_count AS file_count")
+)
 
 # ---------------------------------------------------------------- resolution, shapes, sources
 
@@ -406,12 +442,33 @@ join fn k on k.repo_id = x.repo_id and k.build_no = x.build_no and k.name = x.ca
 where c.qualified_name <> k.qualified_name""",
 )
 def resolve_range_join(spark, d):
-    functions = code_graph(spark, d).functions.select(*_scoped("name", "qualified_name", "file"), "language", "start_line", "end_line")
-    calls = table(spark, d, "call_edges").select(*_scoped("caller_file", "callee_name"), "line")
-    sites = calls.select(F.col("caller_file").alias("file"), "line", F.col("callee_name").alias("called_name"), F.lit(0).alias("arg_count"))
+    functions, sites = _resolver_input(spark, d)
     return resolve.resolve(functions, sites).select("caller_qualified", "callee_qualified")
 
 
+@query(
+    "resolve_edges",
+    GRAPH_SQL
+    + """, sites as (select distinct repo_id, build_no, caller_file, line, callee_name from ce),
+pairs as (select distinct c.repo_id, c.build_no, c.qualified_name as p, k.qualified_name as q from sites x
+join fn c on c.repo_id = x.repo_id and c.build_no = x.build_no and c.file = x.caller_file and x.line between c.start_line and c.end_line
+join fn k on k.repo_id = x.repo_id and k.build_no = x.build_no and k.name = x.callee_name where c.qualified_name <> k.qualified_name),
+last as (select repo_id, build_no, qualified_name, arg_max(node_id, (file, node_id)) as id from fn where file is not null group by all)
+select a.id as src, b.id as dst, 'CALLS' as label from pairs join last a on a.repo_id = pairs.repo_id and a.build_no = pairs.build_no and a.qualified_name = p
+join last b on b.repo_id = pairs.repo_id and b.build_no = pairs.build_no and b.qualified_name = q""",
+)
+def resolve_edges(spark, d):
+    functions, sites = _resolver_input(spark, d)
+    functions = functions.where("file is not null")
+    return resolve.edge_table(resolve.resolve(functions, sites), functions).select("src", "dst", "label")
+
+
+def _resolver_input(spark, d):
+    functions = code_graph(spark, d).functions.select("node_id", F.col("node_id").alias("ordinal"), *_scoped("name", "qualified_name", "file"), "language", "start_line", "end_line", F.lit(None).cast(f"array<{schema.PARAM}>").alias("parameters"))
+    calls = table(spark, d, "call_edges").select(*_scoped("caller_file", "callee_name"), "line")
+    return functions, calls.select(F.col("caller_file").alias("file"), "line", F.col("callee_name").alias("called_name"), F.lit(0).alias("arg_count"))
+
+
 @query(
     "ext_classify",
     """select ext, language, count(*) as n_files from (select ext, case ext when '.go' then 'go' when '.java' then 'java' when '.ts' then 'typescript' when '.tsx' then 'typescript' when '.py' then 'python' else '' end as language
@@ -494,3 +551,46 @@ def breaks_arity(spark, d):
 def import_edges(spark, d):
     extracted = materialize(frames.extract_files(_sources(spark, d)), "extracted")
     return resolve.import_edges(frames.function_table(extracted), frames.import_table(extracted))
+
+
+# ---------------------------------------------------------------- own source texts and a small graph, with answers written by hand
+
+for _prefix, _language in {"go": "go", "py": "python", "java": "java", "ts": "typescript"}.items():
+    query(f"golden_{_language}", goldens.expected_sql(_prefix))(lambda spark, d, p=_prefix: goldens.rendered(spark, p))
+
+
+@query("golden_calls", goldens.values_sql(goldens.CALLS, ("file", "line", "called_name", "arg_count")))
+def golden_calls(spark, d):
+    return frames.call_site_table(goldens.project(spark)).select("file", "line", "called_name", "arg_count")
+
+
+def _golden_pairs(edges, functions):
+    names = functions.select(F.col("node_id").alias("id"), "qualified_name")
+    both = edges.join(names.toDF("src", "caller"), "src").join(names.toDF("dst", "callee"), "dst")
+    return both.select("caller", "callee")
+
+
+@query("golden_edges", goldens.values_sql(goldens.RESOLVED, ("caller", "callee")))
+def golden_edges(spark, d):
+    extracted = goldens.project(spark)
+    functions = frames.function_table(extracted)
+    return _golden_pairs(resolve.edge_table(resolve.resolve(functions, frames.call_site_table(extracted)), functions), functions)
+
+
+@query("golden_imports", goldens.values_sql(goldens.IMPORTED, ("caller", "callee")))
+def golden_imports(spark, d):
+    extracted = goldens.project(spark)
+    functions = frames.function_table(extracted)
+    return _golden_pairs(resolve.import_edges(functions, frames.import_table(extracted)), functions)
+
+
+@query("golden_breaks", goldens.values_sql(goldens.BROKEN, ("caller", "called_name", "arg_count")))
+def golden_breaks(spark, d):
+    extracted = goldens.project(spark)
+    found = resolve.mismatched_calls(frames.function_table(extracted), frames.call_site_table(extracted))
+    return found.select(F.col("caller_qualified").alias("caller"), "called_name", "arg_count")
+
+
+@query("golden_tools", goldens.values_sql([(i, name, answer) for i, (name, _, answer) in enumerate(goldens.ANSWERS)], ("request", "tool", "answer")))
+def golden_tools(spark, d):
+    return goldens.asked(spark)

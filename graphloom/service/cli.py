@@ -11,7 +11,6 @@ from graphloom import __version__
 from graphloom import config as cfg
 from graphloom.extract import extract
 from graphloom.graph import CodeGraph
-from graphloom.operators.modules import internal_edges
 from graphloom.plans.build import Options, build, graph_path, summary
 from graphloom.schema import EXTENSIONS
 from graphloom.service import rpc
@@ -125,8 +124,7 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
         return 1
     out.write(format_result(a.query, result))
     if a.query == "domain":
-        calls = internal_edges(graph, a.module).orderBy("caller", "callee")
-        out.write("".join(f"  {r.caller} -> {r.callee}\n" for r in calls.toLocalIterator()))
+        out.write("".join(f"  {e['From']} -> {e['To']}\n" for e in result["internal_edges"]))
     return 0
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom import schema
-from graphloom.graph import CodeGraph, NotFound
+from graphloom.graph import CodeGraph
 from graphloom.operators import closure, lookup, modules
 from graphloom.operators.paging import DEFAULT_LIMIT, Options, Page, paginate
-from graphloom.storage import temporary
+from graphloom.storage import materialize, temporary
 
 ORDER = ["file", "start_line", "qualified_name"]
 _KEYS = dict(zip(schema.INFO, ("Name", "QualifiedName", "File", "StartLine", "EndLine", "Module", "Exported", "Tag", "Contract", "Completeness")))
@@ -32,7 +32,7 @@ class Tools:
             "entry_points": lambda a: self._functions(lookup.entry_points(self.graph), a),
             "exports": lambda a: self._functions(lookup.exports(self.graph, _text(a, "module")), a),
             "domains": self._domains,
-            "domain": lambda a: self._functions(lookup.domain(self.graph, _text(a, "module")), a),
+            "domain": self._domain,
             "coupling": self._coupling,
             "untested": lambda a: self._functions(lookup.untested(self.graph), a),
             "test_coverage": self._named(lookup.test_coverage),
@@ -72,6 +72,12 @@ class Tools:
         page = paginate(modules.coupling(self.graph), [F.desc("edges"), "from_module", "to_module"], options(args))
         return envelope(page, [{"FromModule": r.from_module, "ToModule": r.to_module, "EdgeCount": r.edges} for r in page.items])
 
+    def _domain(self, args: dict) -> dict:
+        """A page of the module's functions and, paged alike, the calls inside it."""
+        module = _text(args, "module")
+        inside = paginate(modules.internal_edges(self.graph, module), ["caller", "callee"], Options(options(args).limit))
+        return self._functions(lookup.domain(self.graph, module), args) | {"internal_edges": [{"From": r.caller, "To": r.callee} for r in inside.items], "internal_edge_count": inside.total}
+
     def _summary(self, _: dict) -> dict:
         r = modules.graph_summary(self.graph).first()
         covered = modules.coverage_percent(self.graph).first()
@@ -81,21 +87,20 @@ class Tools:
         }
 
     def _subgraph(self, args: dict) -> dict:
-        """'callees' holds the impact set, as clients of the protocol know it; 'true_callees' the other direction."""
-        name, hops, rows = _text(args, "function"), _number(args, "hops", 2), {"limit": 0}
-
-        def tried(f):
-            try:
-                return f()
-            except NotFound:
-                return None
-
+        """'callees' holds the impact set, as clients of the protocol know it; 'true_callees' the other direction.
+
+        Each part is a page of ``limit`` rows from the part's start (all, where the request names none); ``counts`` tells
+        how many there are."""
+        name, hops = _text(args, "function"), _number(args, "hops", 2)
+        rows = closure.subgraph(self.graph, name, hops, self.qualified)
+        kept = materialize(rows, "subgraph")
+        counts = {r.part: r.n for r in kept.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # four parts
+        known = "center" in counts
+        page = lambda part: function_items(self.page(kept.where(F.col("part") == part), {"limit": _number(args, "limit", 0)}))
         return {
-            "center": tried(lambda: self._contract(args)),
-            "callers": tried(lambda: self._named(lookup.callers)(args | rows)["items"]),
-            "callees": tried(lambda: self._functions(closure.impact(self.graph, name, hops, self.qualified), rows)["items"]),
-            "true_callees": tried(lambda: self._functions(closure.callees(self.graph, name, hops, self.qualified), rows)["items"]),
-        }
+            "center": page("center")[0] if known else None, "callers": page("callers") if known else None, "callees": page("callees"), "true_callees": page("true_callees"),
+            "counts": {part: counts.get(part, 0) for part in ("callers", "callees", "true_callees")},
+        }
 
 
 def _text(args: dict, key: str) -> str:
@@ -134,12 +139,12 @@ def definitions() -> list[dict]:
         ("entry_points", "Functions that nothing calls.", pages, []),
         ("exports", "Exported functions of the module.", module | pages, ["module"]),
         ("domains", "Modules with their number of functions.", pages, []),
-        ("domain", "Functions of the module.", module | pages, ["module"]),
+        ("domain", "Functions of the module and the calls inside it.", module | pages, ["module"]),
         ("coupling", "Calls between modules.", pages, []),
         ("untested", "Functions that no test calls.", pages, []),
         ("test_coverage", "Tests that call the function.", function | pages, ["function"]),
         ("graph_summary", "Modules, counts and coverage of the graph.", {}, []),
-        ("subgraph", "The surroundings of the function.", function | hops, ["function"]),
+        ("subgraph", "The surroundings of the function.", function | hops | {"limit": pages["limit"] | {"default": 0}}, ["function"]),
     ]
     return [
         {"name": n, "description": d, "inputSchema": {"type": "object"} | ({"properties": p} if p else {}) | ({"required": r} if r else {})} for n, d, p, r in rows

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def ignored_file(path: Column, gitignore: list[str]) -> Column:
     return out
 
 
-def _filesystem(root: str):
+def filesystem(root: str):
     """(file system, base path) of a folder given as a path or as a URI."""
     from pyarrow import fs
 
@@ -56,24 +57,30 @@ def _skipped(rel: str, names: frozenset[str], prefixes: tuple[str, ...]) -> bool
     return rel.rsplit("/", 1)[-1] in names or any(p and rel.startswith(p) for p in prefixes)
 
 
-def _list(filesystem, base: str, rel: str) -> tuple[list[tuple[str, int]], list[str]]:
-    """(files with sizes, folders) of one folder, relative to the base; an unreadable folder is empty."""
+def _list(store, base: str, rel: str) -> tuple[list[tuple[str, int]], list[str]]:
+    """(files with sizes and times, folders) of one folder, relative to the base; an unreadable folder is empty."""
     from pyarrow import fs
 
     try:
-        infos = filesystem.get_file_info(fs.FileSelector(f"{base}/{rel}" if rel else base))
+        infos = store.get_file_info(fs.FileSelector(f"{base}/{rel}" if rel else base))
     except OSError:
         return [], []
     join = lambda i: f"{rel}/{i.base_name}" if rel else i.base_name
-    return [(join(i), i.size or 0) for i in infos if i.type == fs.FileType.File], [join(i) for i in infos if i.type == fs.FileType.Directory]
+    return [(join(i), i.size or 0, i.mtime_ns or 0) for i in infos if i.type == fs.FileType.File], [join(i) for i in infos if i.type == fs.FileType.Directory]
 
 
 #: folders that the driver lists before executors take over; files per task that reads them
 FRONTIER, FILES_PER_TASK = 256, 500
+#: bytes of file contents that one batch gathers
+BATCH_BYTES = 16 << 20
+
+
+def _folders(store, base: str, rel: str) -> list[str]:
+    return _list(store, base, rel)[1]
 
 
 def list_files(spark: SparkSession, root: str, exclude: list[str] = (), gitignore: list[str] | None = None, scope: str = "") -> DataFrame:
-    """``(path, size)`` of all files below the root that no folder rule leaves out, hidden names included.
+    """``(path, size, modified)`` of all files below the root that no folder rule leaves out, hidden names included.
 
     Spark's own file sources pass over names that begin with '_' or '.', and with them every
     ``__init__.py``; so the tree is listed here: a bounded frontier of folders on the driver, then one task per
@@ -81,30 +88,28 @@ def list_files(spark: SparkSession, root: str, exclude: list[str] = (), gitignor
     gitignore = load_gitignore(root) if gitignore is None else gitignore
     names = frozenset([".git", TOOL_DIR, *exclude, *(g.rstrip("/") for g in gitignore)])
     prefixes = tuple(exclude)
-    filesystem, base = _filesystem(root)
-    files, frontier = [], [scope.strip("/")] if scope.strip("/.") else [""]
-    while frontier and len(frontier) < FRONTIER and len(files) < FRONTIER * FILES_PER_TASK:
-        found, below = _list(filesystem, base, frontier.pop(0))
-        files += found
-        frontier += [d for d in below if not _skipped(d, names, prefixes)]
+    store, base = filesystem(root)
+    # the driver learns folders only, a bounded number; the files of every folder are listed by the tasks
+    taken, frontier = [], [scope.strip("/")] if scope.strip("/.") else [""]
+    while frontier and len(frontier) + len(taken) < FRONTIER:
+        start = frontier.pop(0)
+        taken.append((start, False))
+        frontier += [d for d in _folders(store, base, start) if not _skipped(d, names, prefixes)]
 
     def descend(batches):
-        import pandas as pd
-
-        filesystem, base = _filesystem(root)
+        store, base = filesystem(root)
         for batch in batches:
-            for start in batch["folder"]:
+            for start, deep in zip(batch["folder"], batch["deep"]):
                 stack = [start]
                 while stack:
-                    found, below = _list(filesystem, base, stack.pop())
-                    stack += [d for d in below if not _skipped(d, names, prefixes)]
-                    yield pd.DataFrame(found, columns=["path", "size"])
-
-    out = spark.createDataFrame(files, "path string, size bigint")
-    if frontier:
-        ship(spark)
-        folders = spark.createDataFrame([(d,) for d in frontier], "folder string").repartition(len(frontier))
-        out = out.unionByName(folders.mapInPandas(descend, "path string, size bigint"))
+                    found, below = _list(store, base, stack.pop())
+                    stack += [d for d in below if deep and not _skipped(d, names, prefixes)]
+                    for at in range(0, len(found), 10_000):
+                        yield pd.DataFrame(found[at : at + 10_000], columns=["path", "size", "modified"])
+
+    ship(spark)
+    folders = spark.createDataFrame(taken + [(d, True) for d in frontier], "folder string, deep boolean")
+    out = folders.repartition(len(taken) + len(frontier)).mapInPandas(descend, "path string, size bigint, modified bigint")
     return out.where(~ignored_file(F.col("path"), gitignore))
 
 
@@ -122,19 +127,23 @@ def with_content(files: DataFrame, root: str) -> DataFrame:
     tasks = max(1, -(-files.count() // FILES_PER_TASK))
 
     def read(batches):
-        filesystem, base = _filesystem(root)
+        store, base = filesystem(root)
         for batch in batches:
-            contents = []
-            for path in batch["path"]:
+            rows, held = [], 0
+            for row in batch.itertuples(index=False):
                 try:
-                    with filesystem.open_input_stream(f"{base}/{path}") as f:
-                        contents.append(f.read())
+                    with store.open_input_stream(f"{base}/{row.path}") as f:
+                        content = f.read()
                 except OSError:
-                    contents.append(None)
-            yield batch.assign(content=contents)
+                    content = None
+                rows.append((*row, content))
+                held += len(content or b"")
+                if held >= BATCH_BYTES:  # a task holds about this much beside the file it reads
+                    yield pd.DataFrame(rows, columns=[*batch.columns, "content"])
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=[*batch.columns, "content"])
 
     fields = ", ".join(f"{n} {t}" for n, t in files.dtypes)
-    # small batches: a task holds few contents at a time
     return files.repartition(tasks).mapInPandas(read, f"{fields}, content binary")
 
 

@@ -1,4 +1,4 @@
-"""Own source fixtures: a small project in the four languages, and two hand-built graphs."""
+"""Own source fixtures: a small project in the four languages."""
 
 from __future__ import annotations
 
@@ -180,8 +180,3 @@ def write_project(root) -> None:
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_text(text)
     (root / ".gitignore").write_text(GITIGNORE)
-
-
-#: id, name, module, exported, test; main -> ProcessOrder -> validate, saveOrder; TestProcessOrder -> ProcessOrder
-NODES = [(1, "main", "cmd", False, None), (2, "ProcessOrder", "order", True, None), (3, "validate", "order", False, None), (4, "saveOrder", "store", True, None), (5, "TestProcessOrder", "order", True, True)]
-EDGES = [(1, 2), (2, 3), (2, 4), (5, 2)]

@@ -1,16 +1,18 @@
 import io
 import json
+import os
 
 import fixtures as fx
 import pytest
 from graphloom import config as cfg
 from graphloom.extract.frames import call_site_table, extract_files, function_table, import_table
 from graphloom.graph import CodeGraph
+from graphloom.plans import build as build_module
 from graphloom.plans.build import Options, build, summary
 from graphloom.plans.resolve import data_shape, import_edges, mismatched_calls, resolve
 from graphloom.service import cli
 from graphloom.sources import walk
-from graphloom.streaming.watch import watch
+from graphloom.streaming.watch import Watcher, changed_files, watch
 from pyspark.sql import functions as F
 
 
@@ -38,7 +40,7 @@ def test_scan(spark, project):
     assert {r.path for r in walk.scan(spark, str(project), [], scope="shop").select("path").collect()} == {"shop/basket.go", "shop/basket_test.go"}
     read = walk.with_content(files.where("ext = '.rb' or path = 'Makefile'"), str(project)).collect()
     assert {r.path: bytes(r.content) for r in read} == {"tools/x.rb": b"puts 1\n", "Makefile": b"all:\n"}
-    gone = spark.createDataFrame([("nowhere.py", 1)], "path string, size bigint")
+    gone = spark.createDataFrame([("nowhere.py", 1, 1)], "path string, size bigint, modified bigint")
     assert walk.with_content(gone, str(project)).first().content is None
 
 
@@ -144,8 +146,40 @@ def test_imports(spark, project):
     assert {(names[r.src], names[r.dst]) for r in import_edges(f, import_table(extracted)).collect()} == {("X", "Y"), ("m", "f"), ("m", "k"), ("a", "go"), ("u", "v")}
 
 
-def test_watch(spark, tmp_path):
+def test_watch_sees_new_edited_and_deleted_files(spark, tmp_path):
     fx.write_project(tmp_path)
     results = watch(spark, str(tmp_path), once=True)
     assert len(results) == 1 and results[0].function_count == 32
     assert CodeGraph.load(spark, results[0].graph_path).functions.count() == 32
+    w = Watcher(spark, str(tmp_path))  # a restarted watch goes on from the last listing
+    assert not w.tick()
+    (tmp_path / "app" / "more.py").write_text("def more(): pass\n")
+    (tmp_path / "notes.txt").write_text("no source")
+    assert w.tick() and w.results[-1].function_count == 33 and not w.tick()
+    (tmp_path / "app" / "more.py").write_text("def more(): pass\ndef most(): pass\n")
+    assert w.tick() and w.results[-1].function_count == 34
+    os.remove(tmp_path / "app" / "more.py")
+    assert w.tick() and w.results[-1].function_count == 32 and not w.tick()
+    old = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("c", 1, 5)], "path string, size bigint, modified bigint")
+    new = spark.createDataFrame([("a", 1, 5), ("b", 1, 6), ("d", 1, 5)], old.schema)
+    assert {tuple(r) for r in changed_files(old, new).collect()} == {("b", "edited"), ("c", "removed"), ("d", "added")}
+
+
+def test_watch_runs_on_a_clock(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def a(): pass\n")
+
+    def then(result):
+        (tmp_path / "b.py").write_text("def b(): pass\n")
+        return result.function_count == 2
+
+    results = watch(spark, str(tmp_path), seconds=120, interval="1 second", on_build=then)
+    assert [r.function_count for r in results] == [1, 2]
+
+
+def test_many_skipped_extensions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(build_module, "SHOWN", 2)
+    for i in range(4):
+        (tmp_path / f"f.x{i}").write_text("")
+    _, result = build(spark, Options(str(tmp_path)))
+    assert len(result.skipped) == 2 and result.skipped_extensions == 4 and "of 2 more extensions" in summary(result)
+    assert spark.read.parquet(f"{result.graph_path}/skipped").count() == 4

@@ -1,5 +1,6 @@
 import fixtures as fx
 import pytest
+from graphloom import goldens
 from graphloom.extract import extract
 
 
@@ -99,3 +100,8 @@ def test_typescript_test_files_are_tests():
 def test_broken_text_gives_what_can_be_read(language, text):
     records, calls = extract("a", language, text)
     assert isinstance(records, list) and isinstance(calls, list)
+
+
+@pytest.mark.parametrize("language", ["go", "py", "java", "ts"])
+def test_records_written_by_hand(spark, language):
+    assert sorted(tuple(r) for r in goldens.rendered(spark, language).collect()) == sorted(goldens.expected(f"{language}_"))

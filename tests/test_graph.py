@@ -2,18 +2,18 @@ import io
 import json
 import random
 
-import fixtures as fx
 import pytest
+from graphloom import goldens
 from graphloom.graph import CodeGraph, NotFound, info
 from graphloom.operators import closure, lookup, modules
-from graphloom.operators.paging import Options, paginate, with_total
+from graphloom.operators.paging import Options, page_after, paginate, with_total
 from graphloom.pattern import PatternError, run
 from graphloom.service import rpc
 from graphloom.service.tools import Tools
 from pyspark.sql import functions as F
 
 
-def make(spark, nodes=fx.NODES, edges=fx.EDGES, label="CALLS", **more):
+def make(spark, nodes=goldens.NODES, edges=goldens.EDGES, label="CALLS", **more):
     n = spark.createDataFrame([(i, name, f"{m}/{name}", f"{m}/a.go", m, e, t, i * 10, i * 10 + 5) for i, name, m, e, t in nodes], "node_id bigint, name string, qualified_name string, file string, module string, exported boolean, is_test boolean, start_line int, end_line int")
     return CodeGraph.with_defaults(n, spark.createDataFrame([(a, b, label) for a, b in edges], "src bigint, dst bigint, label string"), **more)
 
@@ -28,23 +28,25 @@ def names(df):
 
 
 def test_known_answers(g):
-    assert names(lookup.callers(g, "ProcessOrder")) == ["TestProcessOrder", "main"] == names(lookup.breaks(g, "ProcessOrder"))
-    assert names(closure.impact(g, "validate")) == ["ProcessOrder", "TestProcessOrder", "main"]
-    assert names(closure.impact(g, "validate", 1)) == ["ProcessOrder"] and names(closure.impact(g, "validate", -4)) == names(closure.impact(g, "validate", 3))
-    assert names(closure.callees(g, "main", 2)) == ["ProcessOrder", "saveOrder", "validate"]
-    assert names(lookup.entry_points(g)) == ["TestProcessOrder", "main"]
-    assert names(lookup.exports(g, "order")) == ["ProcessOrder"] and names(lookup.domain(g, "order")) == ["ProcessOrder", "TestProcessOrder", "validate"]
-    assert {(r.module, r.functions) for r in modules.domains(g).collect()} == {("cmd", 1), ("order", 3), ("store", 1)}
-    assert {(r.from_module, r.to_module, r.edges) for r in modules.coupling(g).collect()} == {("cmd", "order", 1), ("order", "store", 1)}
-    assert names(lookup.untested(g)) == ["main", "saveOrder", "validate"] and names(lookup.test_coverage(g, "ProcessOrder")) == ["TestProcessOrder"]
-    assert lookup.contract(g, "order/validate", qualified=True).first().name == "validate"
+    assert names(lookup.callers(g, "bakeLoaf")) == ["checkBakeLoaf", "sellLoaf"] == names(lookup.breaks(g, "bakeLoaf"))
+    assert names(closure.impact(g, "mixDough")) == ["bakeLoaf", "checkBakeLoaf", "openShop", "sellLoaf"]
+    assert names(closure.impact(g, "mixDough", 1)) == ["bakeLoaf"] and names(closure.impact(g, "mixDough", -4)) == names(closure.impact(g, "mixDough", 3))
+    assert names(closure.callees(g, "openShop", 2)) == ["bakeLoaf", "sellLoaf"]
+    assert names(lookup.entry_points(g)) == ["checkBakeLoaf", "openShop"]
+    assert names(lookup.exports(g, "oven")) == ["bakeLoaf"] and names(lookup.domain(g, "oven")) == ["bakeLoaf", "checkBakeLoaf", "mixDough"]
+    assert {(r.module, r.functions) for r in modules.domains(g).collect()} == {("front", 2), ("oven", 3), ("store", 1)}
+    assert {(r.from_module, r.to_module, r.edges) for r in modules.coupling(g).collect()} == {("front", "oven", 1), ("oven", "store", 3)}
+    assert names(lookup.untested(g)) == ["mixDough", "openShop", "sellLoaf"] and names(lookup.test_coverage(g, "bakeLoaf")) == ["checkBakeLoaf"]
+    assert lookup.contract(g, "oven/mixDough", qualified=True).first().name == "mixDough"
     s = modules.graph_summary(g).first()
-    assert (s.total_functions, s.total_edges, s.untested_count, s.modules[0].module) == (5, 4, 3, "order")
-    assert modules.coverage_percent(g).first().coverage_pct == 25.0
-    assert {(r.module, r.internal_edges, r.cross_edges) for r in modules.domain_edges(g).collect()} == {("cmd", 0, 1), ("order", 2, 2), ("store", 0, 1)}
-    assert {(r.caller, r.callee) for r in modules.internal_edges(g, "order").collect()} == {("order/ProcessOrder", "order/validate"), ("order/TestProcessOrder", "order/ProcessOrder")}
-    assert {r.module: r.cohesion for r in modules.cohesion(g).collect()} == {"cmd": 0.0, "order": pytest.approx(2 / 3)}
-    assert (g.node_count(), g.edge_count()) == (5, 4) and len(info(g.functions).columns) == 10
+    assert (s.total_functions, s.total_edges, s.untested_count, s.modules[0].module) == (6, 7, 3, "oven")
+    assert modules.coverage_percent(g).first().coverage_pct == 40.0
+    assert {(r.module, r.internal_edges, r.cross_edges) for r in modules.domain_edges(g).collect()} == {("front", 1, 1), ("oven", 2, 4), ("store", 0, 3)}
+    assert {(r.caller, r.callee) for r in modules.internal_edges(g, "oven").collect()} == {("oven/bakeLoaf", "oven/mixDough"), ("oven/checkBakeLoaf", "oven/bakeLoaf")}
+    assert {r.module: r.cohesion for r in modules.cohesion(g).collect()} == {"front": 0.5, "oven": pytest.approx(2 / 5)}
+    assert (g.node_count(), g.edge_count()) == (6, 7) and len(info(g.functions).columns) == 10
+    parts = {(r.part, r.name) for r in closure.subgraph(g, "weighFlour", 1).collect()}
+    assert parts == {("center", "weighFlour")} | {(p, n) for p in ("callers", "callees") for n in ("mixDough", "bakeLoaf", "checkBakeLoaf")}
 
 
 def test_unknown_names(g):
@@ -82,14 +84,25 @@ def test_communities(spark):
 def test_pages(g):
     df = g.functions.select("node_id", "name")
     page = paginate(df, ["name"], Options(2, 1))
-    assert ([r.name for r in page.items], page.total, page.truncated, page.returned) == (["TestProcessOrder", "main"], 5, True, 2)
-    assert paginate(df, ["name"], Options(0, 0)).returned == 5 and not paginate(df, ["name"], Options(-1, -9)).truncated
+    assert ([r.name for r in page.items], page.total, page.truncated, page.returned) == (["checkBakeLoaf", "mixDough"], 6, True, 2)
+    assert paginate(df, ["name"], Options(0, 0)).returned == 6 and not paginate(df, ["name"], Options(-1, -9)).truncated
     past = paginate(df, ["name"], Options(2, 99))
-    assert (past.items, past.offset, past.truncated) == ([], 5, False)
-    assert [r.total_count for r in with_total(df, ["name"], Options(2, 4)).collect()] == [5]
+    assert (past.items, past.offset, past.truncated) == ([], 6, False)
+    assert [r.total_count for r in with_total(df, ["name"], Options(2, 5)).collect()] == [6]
     assert "TakeOrderedAndProject" in df.orderBy("name").limit(3)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pages_by_key(spark):
+    rows = [(None, 2), (None, 1), ("a", 3), ("b", 5), ("a", None), ("b", 4)]
+    df = spark.createDataFrame(rows, "name string, id int")
+    got, last = [], None
+    while page := page_after(df, ["name", "id"], last, 2).collect():
+        got += [tuple(r) for r in page]
+        last = list(page[-1])
+    assert got == [(None, 1), (None, 2), ("a", None), ("a", 3), ("b", 4), ("b", 5)]
+    assert page_after(df, ["name", "id"], ["b", 5]).count() == 0 == page_after(df.limit(0), ["name"]).count()
+
+
 def test_anti_joins_and_pruning_in_plans(g):
     plan = lookup.untested(g)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "Cartesian" not in plan
@@ -98,15 +111,15 @@ def test_anti_joins_and_pruning_in_plans(g):
 def test_save_and_load(spark, g, tmp_path):
     g.save(str(tmp_path / "graph"))
     back = CodeGraph.load(spark, str(tmp_path / "graph"))
-    assert back.functions.count() == 5 and back.edges.count() == 4 and back.meta.first().function_count == 5 and back.node_count() == 6
+    assert back.functions.count() == 6 and back.edges.count() == 7 and back.meta.first().function_count == 6 and back.node_count() == 7
     more = back.add_edges(spark.createDataFrame([(1, 3, "IMPORTS")], "src bigint, dst bigint, label string"))
-    assert names(lookup.callers(more, "validate")) == ["ProcessOrder"] and more.edge_count() == 5
+    assert names(lookup.callers(more, "mixDough")) == ["bakeLoaf"] and more.edge_count() == 8
     g.save(str(tmp_path / "graph"))
     back = CodeGraph.load(spark, str(tmp_path / "graph"))
-    assert back.functions.count() == 5
-    plan = lookup.find_by_name(back, "validate")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(name), EqualTo(name,validate)]" in plan
-    assert run(back, "MATCH (m:GraphMeta) RETURN m.function_count AS n").first().n == 5
+    assert back.functions.count() == 6
+    plan = lookup.find_by_name(back, "mixDough")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(name), EqualTo(name,mixDough)]" in plan
+    assert run(back, "MATCH (m:GraphMeta) RETURN m.function_count AS n").first().n == 6
 
 
 # ---------------------------------------------------------------- patterns
@@ -117,29 +130,45 @@ def rows(g, text, **params):
 
 
 def test_patterns(g):
-    assert [r.f.name for r in run(g, "MATCH (f:Function {name: 'main'}) RETURN f").collect()] == ["main"]
+    assert [r.f.name for r in run(g, "MATCH (f:Function {name: 'openShop'}) RETURN f").collect()] == ["openShop"]
     assert run(g, "MATCH (f) RETURN f.name, f.module").columns == ["f.name", "f.module"]
-    assert rows(g, "MATCH (f:Function) RETURN count(f) AS n") == [(5,)]
-    assert rows(g, "MATCH (a:Function)-[:CALLS]->(b:Function {name: 'validate'}) RETURN a.name AS a") == [("ProcessOrder",)]
-    assert rows(g, "MATCH (a {name: 'ProcessOrder'})<-[:CALLS]-(b) RETURN b.name AS b") == [("TestProcessOrder",), ("main",)]
-    assert rows(g, "MATCH (a)-[e:CALLS]->(b {name: 'saveOrder'}) RETURN a.name AS a, e.src AS s, e.label AS l") == [("ProcessOrder", 2, "CALLS")]
-    assert run(g, "MATCH (a)-[e:CALLS]->(b {name: 'saveOrder'}) RETURN a.name, e").first().e.dst == 4
-    assert rows(g, "MATCH (a {name: 'main'})-[:CALLS*1..3]->(b) RETURN b.name AS b") == [("ProcessOrder",), ("saveOrder",), ("validate",)]
-    assert rows(g, "MATCH (a {name: 'main'})-[:CALLS*2..6]->(b) WHERE b.exported = true RETURN b.name AS b") == [("saveOrder",)]
-    assert rows(g, "MATCH (a)-[:CALLS*5..15]->(b) RETURN b.name AS b") == []
+    assert rows(g, "MATCH (f:Function) RETURN count(f) AS n") == [(6,)]
+    assert rows(g, "MATCH (a:Function)-[:CALLS]->(b:Function {name: 'mixDough'}) RETURN a.name AS a") == [("bakeLoaf",)]
+    assert rows(g, "MATCH (a {name: 'bakeLoaf'})<-[:CALLS]-(b) RETURN b.name AS b") == [("checkBakeLoaf",), ("sellLoaf",)]
+    assert rows(g, "MATCH (a)-[e:CALLS]->(b {name: 'mixDough'}) RETURN a.name AS a, e.src AS s, e.label AS l") == [("bakeLoaf", 2, "CALLS")]
+    assert run(g, "MATCH (a)-[e:CALLS]->(b {name: 'mixDough'}) RETURN a.name, e").first().e.dst == 3
+    # one row per path: flour is weighed for the loaf and for its dough
+    assert rows(g, "MATCH (a {name: 'sellLoaf'})-[:CALLS*1..3]->(b) RETURN b.name AS b") == [("bakeLoaf",), ("mixDough",), ("weighFlour",), ("weighFlour",)]
+    assert rows(g, "MATCH (a {name: 'openShop'})-[:CALLS*2..6]->(b) WHERE b.exported = true RETURN DISTINCT b.name AS b") == [("bakeLoaf",), ("weighFlour",)]
+    assert rows(g, "MATCH (a)-[:CALLS*5..15]->(b) RETURN b.name AS b") == [] == rows(g, "MATCH (a)-[:CALLS*5..15]->(b) RETURN DISTINCT b.name AS b")
+    assert rows(g, "MATCH (a)-[:CALLS*1..3]->(b {name: 'mixDough'}) RETURN DISTINCT a.name AS a") == [("bakeLoaf",), ("checkBakeLoaf",), ("openShop",), ("sellLoaf",)]
     assert rows(g, "MATCH (a)-[:IMPORTS]->(b) RETURN b.name AS b") == []
-    assert rows(g, "MATCH (f) WHERE f.module = 'order' AND NOT f.exported = true RETURN f.name AS n") == [("validate",)]
-    assert len(rows(g, "MATCH (f) WHERE f.receiver <> 'x' RETURN f.name AS n")) == 5
-    assert rows(g, "MATCH (f) WHERE f.name STARTS WITH 'sa' OR f.name CONTAINS 'estP' OR f.name ENDS WITH 'in' RETURN f.name AS n") == [("TestProcessOrder",), ("main",), ("saveOrder",)]
-    assert [r.n for r in run(g, "MATCH (f) RETURN f.name AS n ORDER BY f.name DESC SKIP 1 LIMIT 2").collect()] == ["saveOrder", "main"]
-    assert rows(g, "MATCH (a {name: 'ProcessOrder'})-[:CALLS]-(b) RETURN b.name AS b") == [("TestProcessOrder",), ("main",), ("saveOrder",), ("validate",)]
-    assert rows(g, "MATCH (f {name: $n}) RETURN f.module AS m", n="main'} RETURN f") == [] and rows(g, "MATCH (f {name: $n}) RETURN f.module AS m", n="main") == [("cmd",)]
-    assert rows(g, "MATCH (f {name: 'validate'}) OPTIONAL MATCH (t)-[:CALLS]->(f) WHERE t.is_test = true RETURN f.name AS f, t.name AS t") == [("validate", None)]
-    assert rows(g, "MATCH (f {name: 'ProcessOrder'}) OPTIONAL MATCH (t)-[:CALLS]->(f) WHERE t.is_test = true RETURN f.name AS f, t.name AS t") == [("ProcessOrder", "TestProcessOrder")]
-    assert rows(g, "MATCH (a)-[:CALLS]->(b)-[:CALLS]->(c {name: 'validate'}) RETURN a.name AS a") == [("TestProcessOrder",), ("main",)]
-    assert rows(g, "MATCH (a)-[:CALLS]->(b) RETURN b.module AS m, count(*) AS n") == [("order", 3), ("store", 1)]
-    assert rows(g, "MATCH (a)-[:CALLS]->(b) RETURN DISTINCT b.module AS m") == [("order",), ("store",)]
-    assert rows(g, "MATCH (a)-[:CALLS]->(b) WHERE a.module <> b.module RETURN a.name AS a, b.name AS b") == [("ProcessOrder", "saveOrder"), ("main", "ProcessOrder")]
+    assert rows(g, "MATCH (f) WHERE f.module = 'oven' AND NOT f.exported = true RETURN f.name AS n") == [("mixDough",)]
+    assert len(rows(g, "MATCH (f) WHERE f.receiver <> 'x' RETURN f.name AS n")) == 6
+    assert rows(g, "MATCH (f) WHERE f.name STARTS WITH 'we' OR f.name CONTAINS 'kBake' OR f.name ENDS WITH 'op' RETURN f.name AS n") == [("checkBakeLoaf",), ("openShop",), ("weighFlour",)]
+    assert [r.n for r in run(g, "MATCH (f) RETURN f.name AS n ORDER BY f.name DESC SKIP 1 LIMIT 2").collect()] == ["sellLoaf", "openShop"]
+    assert rows(g, "MATCH (a {name: 'bakeLoaf'})-[:CALLS]-(b) RETURN b.name AS b") == [("checkBakeLoaf",), ("mixDough",), ("sellLoaf",), ("weighFlour",)]
+    assert rows(g, "MATCH (f {name: $n}) RETURN f.module AS m", n="openShop'} RETURN f") == [] and rows(g, "MATCH (f {name: $n}) RETURN f.module AS m", n="openShop") == [("front",)]
+    assert rows(g, "MATCH (f {name: 'mixDough'}) OPTIONAL MATCH (t)-[:CALLS]->(f) WHERE t.is_test = true RETURN f.name AS f, t.name AS t") == [("mixDough", None)]
+    assert rows(g, "MATCH (f {name: 'bakeLoaf'}) OPTIONAL MATCH (t)-[:CALLS]->(f) WHERE t.is_test = true RETURN f.name AS f, t.name AS t") == [("bakeLoaf", "checkBakeLoaf")]
+    assert rows(g, "MATCH (a)-[:CALLS]->(b)-[:CALLS]->(c {name: 'mixDough'}) RETURN a.name AS a") == [("checkBakeLoaf",), ("sellLoaf",)]
+    assert rows(g, "MATCH (a)-[:CALLS]->(b) RETURN b.module AS m, count(*) AS n") == [("front", 1), ("oven", 3), ("store", 3)]
+    assert rows(g, "MATCH (a)-[:CALLS]->(b) RETURN DISTINCT b.module AS m") == [("front",), ("oven",), ("store",)]
+    assert rows(g, "MATCH (a)-[:CALLS]->(b) WHERE a.module <> b.module RETURN a.name AS a, b.name AS b") == [("bakeLoaf", "weighFlour"), ("checkBakeLoaf", "weighFlour"), ("mixDough", "weighFlour"), ("sellLoaf", "bakeLoaf")]
+
+
+def test_distinct_ends_are_walks(spark):
+    rng = random.Random(3)
+    edges = [(rng.randint(0, 9), rng.randint(0, 9)) for _ in range(18)]
+    g = make(spark, [(i, f"n{i}", "m", True, None) for i in range(10)], edges)
+    for lo, hi in ((0, 2), (1, 1), (1, 4), (2, 2), (3, 6)):
+        want, at = set(), {(i, i) for i in range(10)}
+        want |= at if lo == 0 else set()
+        for hop in range(1, hi + 1):
+            at = {(s, b) for s, n in at for a, b in edges if a == n}
+            want |= at if hop >= lo else set()
+        got = rows(g, f"MATCH (a)-[:CALLS*{lo}..{hi}]->(b) RETURN DISTINCT a.node_id AS a, b.node_id AS b")
+        assert got == sorted(want)
 
 
 def test_paths_repeat_no_edge(spark):
@@ -181,19 +210,24 @@ def test_rpc_protocol(g):
 
 def test_rpc_tools(g):
     requests = [
-        tool("callers", function="ProcessOrder", limit=1), tool("contract", function="validate"), tool("impact", function="validate", depth=1), tool("entry_points", limit="x"), tool("exports", module="order"), tool("domains"),
-        tool("domain", module="order", offset=99), tool("coupling"), tool("untested"), tool("test_coverage", function="ProcessOrder"), tool("graph_summary"), tool("subgraph", function="ProcessOrder"), tool("subgraph", function="nope"),
+        tool("callers", function="bakeLoaf", limit=1), tool("contract", function="mixDough"), tool("impact", function="mixDough", depth=1), tool("entry_points", limit="x"), tool("exports", module="oven"), tool("domains"),
+        tool("domain", module="oven", offset=99), tool("coupling"), tool("untested"), tool("test_coverage", function="bakeLoaf"), tool("graph_summary"), tool("subgraph", function="bakeLoaf"), tool("subgraph", function="nope"),
     ]
     a = [answer(r) for r in ask(g, *requests)]
     assert (a[0]["total_count"], a[0]["returned"], a[0]["truncated"], a[0]["hint"]) == (2, 1, True, "Use offset=1 to see more")
-    assert a[1]["QualifiedName"] == "order/validate" and a[2]["total_count"] == 1 and a[3]["total_count"] == 2 and "hint" not in a[3]
-    assert a[4]["items"][0]["Name"] == "ProcessOrder" and a[5]["items"][0] == {"Module": "order", "Functions": 3, "Edges": 0}
-    assert (a[6]["items"], a[6]["offset"]) == ([], 3) and a[7]["items"][0] == {"FromModule": "cmd", "ToModule": "order", "EdgeCount": 1}
-    assert a[8]["total_count"] == 3 and a[9]["items"][0]["Tag"] == "test" and a[10]["total_functions"] == 5
-    assert {i["Name"] for i in a[11]["callees"]} == {"main", "TestProcessOrder"} and {i["Name"] for i in a[11]["true_callees"]} == {"validate", "saveOrder"}
+    assert a[1]["QualifiedName"] == "oven/mixDough" and a[2]["total_count"] == 1 and a[3]["total_count"] == 2 and "hint" not in a[3]
+    assert a[4]["items"][0]["Name"] == "bakeLoaf" and a[5]["items"][0] == {"Module": "oven", "Functions": 3, "Edges": 0}
+    assert (a[6]["items"], a[6]["offset"], a[6]["internal_edge_count"]) == ([], 3, 2) and a[7]["items"][0] == {"FromModule": "oven", "ToModule": "store", "EdgeCount": 3}
+    assert a[8]["total_count"] == 3 and a[9]["items"][0]["Tag"] == "test" and a[10]["total_functions"] == 6
+    assert {i["Name"] for i in a[11]["callees"]} == {"sellLoaf", "checkBakeLoaf", "openShop"} and {i["Name"] for i in a[11]["true_callees"]} == {"mixDough", "weighFlour"}
     assert a[12]["center"] is None and a[12]["callers"] is None and a[12]["callees"] == []
 
 
+def test_answers_written_by_hand(spark):
+    got = {r.request: r.answer for r in goldens.asked(spark).collect()}
+    assert got == {i: answer for i, (_, _, answer) in enumerate(goldens.ANSWERS)}
+
+
 def test_every_query_is_registered_once():
     import __spark_entry__ as e
 
