@@ -66,6 +66,8 @@ def function_table(extracted: DataFrame) -> DataFrame:
         (F.col("tag") == "test").alias("is_test"),
         "contract_completeness",
         "ordinal",
+        "least_args",
+        "most_args",
         "parameters",
         "returns",
         F.to_json(F.struct("parameters", "returns")).alias("contract"),

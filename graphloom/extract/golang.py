@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.extract.tokens import Reader, Token, last_line, member, param, record, returns, value
+from graphloom.extract.tokens import Reader, Token, arity, last_line, member, param, record, returns, value
 
 #: fixed values: types that are never expressions
 PRIMITIVES = frozenset(
@@ -140,7 +140,7 @@ def _function(r: Reader, start: int, path: str, package: str, structs: dict) ->
     for label, a, b in _declarations(r, i + 1, r.at(i).mate):
         t = r.slice(a, b)
         params.append(param(label, t, variadic=True) if t.startswith("...") else param(label, **_typed(t, structs)))
-    i = r.after(i)
+    taken, i = arity(r, i), r.after(i)
     end = _result_end(r, i)
     if r.word(i) == "(":
         values = [value(label, **_typed(r.slice(a, b), structs)) for label, a, b in _declarations(r, i + 1, r.at(i).mate)]
@@ -151,6 +151,6 @@ def _function(r: Reader, start: int, path: str, package: str, structs: dict) ->
     owner = receiver.removeprefix("*")
     made = record(
         path, "go", name, ".".join(x for x in (package, owner, name) if x), r.at(start).line, last_line(r.at(i - 1)), package=package, kind="method" if receiver else "function", receiver=receiver,
-        exported="A" <= name[:1] <= "Z", tag="test" if test and not receiver else "application", parameters=params, returns=returns(values, len(values) > 1),
+        exported="A" <= name[:1] <= "Z", tag="test" if test and not receiver else "application", parameters=params, returns=returns(values, len(values) > 1), **taken,
     )
     return [made], i

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.extract.tokens import Reader, Token, last_line, member, param, record, returns, value
+from graphloom.extract.tokens import Reader, Token, arity, last_line, member, param, record, returns, value
 
 _MODIFIERS = frozenset("public private protected static final abstract synchronized native strictfp default transient volatile sealed non-sealed".split())
 _TYPES = frozenset("class interface enum record".split())
@@ -120,7 +120,7 @@ def _members(r: Reader, path: str, package: str, owner: str, kind: str, body: in
         out.append(
             record(
                 path, "java", name, ".".join(x for x in (package, owner, name) if x), r.at(start).line, last_line(r.at(stop - 1)), package=package, kind=what, receiver=owner,
-                exported="public" in words, tag="test" if test else "application", parameters=_params(r, opening, types), returns=returns(values),
+                exported="public" in words, tag="test" if test else "application", parameters=_params(r, opening, types), returns=returns(values), **arity(r, opening),
             )
         )
     return out

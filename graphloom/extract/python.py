@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from graphloom.extract.tokens import Reader, Token, last_line, member, param, record, returns, value
+from graphloom.extract.tokens import Reader, Token, arity, last_line, member, param, record, returns, value
 
 
 def nullable(t: str) -> bool:
@@ -113,7 +113,7 @@ def _function(r: Reader, path: str, statements: list, i: int, j: int, classes: d
         k = r.after(k)
     if r.word(k) != "(":
         return []
-    params = [p for a, b in r.split(k + 1, r.at(k).mate) if (p := _param(r, a, b, classes)) is not None]
+    params, taken = [p for a, b in r.split(k + 1, r.at(k).mate) if (p := _param(r, a, b, classes)) is not None], arity(r, k, bool(owner))
     if owner:
         params = [p for p in params if p["name"] != "self"]
     k = r.after(k)
@@ -130,7 +130,7 @@ def _function(r: Reader, path: str, statements: list, i: int, j: int, classes: d
         record(
             path, "python", name, f"{owner}.{name}" if owner else name, r.at(head if decorated is None else decorated).line, last_line(last), kind="method" if owner else "function", receiver=owner,
             exported=not hidden, tag="test" if test_file and name.startswith("test_") else "application", parameters=params, returns=returns(values),
-            contract_completeness="inferred" if any(not p["type"] for p in params) else "full",
+            contract_completeness="inferred" if any(not p["type"] for p in params) else "full", **taken,
         )
     ]
 

@@ -151,11 +151,31 @@ class Reader:
         return [r for r in out if r[1] > r[0]]
 
 
+def arity(r: Reader, opening: int, owned: bool = False) -> dict[str, int | None]:
+    """How many arguments the parameter list at ``opening`` takes: at least, and at most (None: any number).
+
+    Names of one type count each; ``owned`` leaves out a first ``self`` or ``cls``."""
+    least, most, endless = 0, 0, False
+    for n, (a, b) in enumerate(r.split(opening + 1, r.at(opening).mate, angles=True)):
+        words, k = [], a
+        while k < b:
+            words.append(r.word(k))
+            k = r.after(k)
+        if words in (["*"], ["/"]) or words[0] == "this" or owned and n == 0 and words[0] in ("self", "cls"):
+            continue
+        if words[0] in ("*", "**") or "..." in words:
+            endless = True
+            continue
+        most += 1
+        least += "=" not in words and words[1:2] != ["?"]
+    return {"least_args": least, "most_args": None if endless else most}
+
+
 def record(path: str, language: str, name: str, qualified: str, start: int, end: int, **more) -> dict:
     """A function record with the fields every language has."""
     base = {
         "name": name, "qualified_name": qualified, "file": path, "package": "", "language": language, "start_line": start, "end_line": end, "kind": "function", "receiver": "",
-        "exported": False, "tag": "application", "parameters": [], "returns": returns([]), "contract_completeness": "full",
+        "exported": False, "tag": "application", "parameters": [], "returns": returns([]), "contract_completeness": "full", "least_args": 0, "most_args": 0,
     }
     return base | more
 

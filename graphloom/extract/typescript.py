@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from graphloom.extract.tokens import Reader, Token, last_line, member, param, record, returns, value
+from graphloom.extract.tokens import Reader, Token, arity, last_line, member, param, record, returns, value
 
 _MEMBER_WORDS = frozenset("public private protected static async readonly override abstract get set declare accessor".split())
 _GOES_ON = frozenset(". ?. + - * / % & | ^ < > = == => ? : && || ?? ) ] } , instanceof in as".split())
@@ -114,8 +114,9 @@ def _made(r: Reader, path: str, name: str, start: int, stop: int, opening: int |
         values = [] if t == "void" else [value("", t, nullable="| null" in t or "| undefined" in t, expanded=types.get(t))]
     partial = any(x["type"] == "any" for x in params + values)
     return record(
-        path, "typescript", name, name, r.at(start).line, last_line(r.at(stop - 1)), tag="test" if test else "application", parameters=params, returns=returns(values), contract_completeness="partial" if partial else "full"
-    ) | more
+        path, "typescript", name, name, r.at(start).line, last_line(r.at(stop - 1)), tag="test" if test else "application", parameters=params, returns=returns(values), contract_completeness="partial" if partial else "full",
+        **(arity(r, opening) if opening is not None else {"least_args": 1, "most_args": 1}),
+    ) | more
 
 
 def _params(r: Reader, opening: int, types: dict) -> list[dict]:

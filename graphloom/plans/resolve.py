@@ -21,15 +21,16 @@ def enclosing_calls(functions: DataFrame, call_sites: DataFrame) -> DataFrame:
 def resolve(functions: DataFrame, call_sites: DataFrame, same_language: bool = False) -> DataFrame:
     """Call edges (caller_file, caller_name, caller_qualified, callee_file, callee_name, callee_qualified),
     one per pair of qualified names, without self calls; the first pair in file and line order stays."""
-    calls = enclosing_calls(functions, call_sites).groupBy("caller_file", "caller_name", "caller_qualified", "caller_language", "called_name").agg(F.min("line").alias("line"))
-    targets = functions.select(
-        F.col("file").alias("callee_file"), F.col("name").alias("callee_name"), F.col("qualified_name").alias("callee_qualified"), F.col("language").alias("callee_language"), F.col("start_line").alias("callee_line")
+    # both sides are reduced to distinct qualified names before they fan out over homonyms
+    calls = enclosing_calls(functions, call_sites).groupBy("caller_qualified", "caller_language", "called_name").agg(F.min(F.struct("caller_file", "line", "caller_name")).alias("caller"))
+    targets = functions.groupBy(F.col("qualified_name").alias("callee_qualified"), F.col("language").alias("callee_language"), F.col("name").alias("callee_name")).agg(
+        F.min(F.struct(F.col("file").alias("callee_file"), F.col("start_line").alias("callee_line"))).alias("callee")
     )
     on = F.col("called_name") == F.col("callee_name")
     if same_language:
         on = on & (F.col("caller_language") == F.col("callee_language"))
     pairs = calls.join(targets, on).where(F.col("caller_qualified") != F.col("callee_qualified"))
-    first = F.min(F.struct("caller_file", "line", "caller_name", "callee_file", "callee_line", "callee_name")).alias("e")
+    first = F.min(F.struct("caller.caller_file", "caller.line", "caller.caller_name", "callee.callee_file", "callee.callee_line", "callee_name")).alias("e")
     edges = pairs.groupBy("caller_qualified", "callee_qualified").agg(first)
     return edges.select("e.caller_file", "e.caller_name", "caller_qualified", "e.callee_file", "e.callee_name", "callee_qualified")
 
@@ -76,12 +77,12 @@ def import_edges(functions: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def mismatched_calls(functions: DataFrame, call_sites: DataFrame) -> DataFrame:
-    """Calls whose number of arguments no function of the called name takes."""
-    arity = functions.select(
-        F.col("name").alias("called_name"),
-        F.size(F.filter("parameters", lambda p: ~p["variadic"])).alias("n_params"),
-        F.exists("parameters", lambda p: p["variadic"]).alias("open"),
-    )
-    bounds = arity.groupBy("called_name").agg(F.min("n_params").alias("least"), F.max("n_params").alias("most"), F.max("open").alias("open"))
+    """Calls whose number of arguments no function of the called name takes; defaults and open ends count as such.
+
+    Functions are reduced to one interval per name and number first, so a hot name joins as one row for each of its few forms."""
+    forms = functions.select(F.col("name").alias("called_name"), "least_args", "most_args").distinct()
+    bounds = forms.groupBy("called_name").agg(F.array_sort(F.collect_set(F.struct("least_args", "most_args"))).alias("forms"))
     calls = enclosing_calls(functions, call_sites).join(bounds, "called_name")
-    return calls.where((F.col("arg_count") < F.col("least")) | (~F.col("open") & (F.col("arg_count") > F.col("most")))).select("caller_file", "caller_qualified", "called_name", "line", "arg_count", "least", "most")
+    takes = F.exists("forms", lambda f: (F.col("arg_count") >= f["least_args"]) & (f["most_args"].isNull() | (F.col("arg_count") <= f["most_args"])))
+    least, most = F.array_min(F.transform("forms", lambda f: f["least_args"])), F.when(~F.exists("forms", lambda f: f["most_args"].isNull()), F.array_max(F.transform("forms", lambda f: f["most_args"])))
+    return calls.where(~takes).select("caller_file", "caller_qualified", "called_name", "line", "arg_count", least.alias("least"), most.alias("most"))

@@ -9,13 +9,13 @@ RETURNS = f"struct<multiple:boolean,values:array<{RETURN_VALUE}>>"
 
 RECORD = (
     "struct<name:string,qualified_name:string,file:string,package:string,language:string,start_line:int,end_line:int,kind:string,receiver:string,exported:boolean,tag:string,"
-    f"contract_completeness:string,ordinal:int,parameters:array<{PARAM}>,returns:{RETURNS}>"
+    f"contract_completeness:string,ordinal:int,least_args:int,most_args:int,parameters:array<{PARAM}>,returns:{RETURNS}>"
 )
 CALL_SITE = "struct<line:int,called_name:string,arg_count:int>"
 
 FUNCTIONS = (
     "node_id bigint, label string, name string, qualified_name string, file string, package string, module string, language string, start_line int, end_line int, kind string, receiver string, "
-    f"exported boolean, tag string, is_test boolean, contract_completeness string, ordinal int, parameters array<{PARAM}>, returns {RETURNS}, contract string"
+    f"exported boolean, tag string, is_test boolean, contract_completeness string, ordinal int, least_args int, most_args int, parameters array<{PARAM}>, returns {RETURNS}, contract string"
 )
 EDGES = "edge_id bigint, src bigint, dst bigint, label string, data_shape map<string,string>"
 META = "schema_version bigint, tool_version string, build_time timestamp, function_count bigint, file_count bigint, languages array<string>"

@@ -114,7 +114,7 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
     if a.query == "mismatches":
         rows = spark.read.parquet(f"{graph_path(a.root)}/mismatches").orderBy("caller_file", "line", "called_name", "caller_qualified")
         for r in rows.toLocalIterator():
-            out.write(f"  {r.caller_qualified}\n    {r.caller_file}:{r.line}  {r.called_name} takes {r.least} to {r.most}, given {r.arg_count}\n")
+            out.write(f"  {r.caller_qualified}\n    {r.caller_file}:{r.line}  {r.called_name} takes {r.least} {'or more' if r.most is None else f'to {r.most}'}, given {r.arg_count}\n")
         return 0
     args = {"limit": 0} | {k: v for k in ("function", "module", "depth") if (v := getattr(a, k, None)) is not None}
     try:
