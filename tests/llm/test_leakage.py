@@ -1,6 +1,9 @@
 import random
 
-from graphloom.llm.leakage import Items, characters, leak_report, leaked_items, words
+import pytest
+
+from graphloom.llm import leakage
+from graphloom.llm.leakage import characters, holds_run, in_order, leak_report, leaked_items, words
 from graphloom.llm.queries import p7_found
 
 ITEM = "On the following morning the map engraver loads 921 chalk markers and 304 pear crates while two apprentices fall ill near the old mill"
@@ -16,54 +19,63 @@ def lcs(a, b):
     return row[-1]
 
 
-def brute(item, post, run):
+def brute_run(item, post, run=12):
+    grams = {tuple(item[i : i + run]) for i in range(len(item) - run + 1)}
+    return any(tuple(post[i : i + run]) in grams for i in range(len(post) - run + 1))
+
+
+def brute_ordered(item, post):
     n = len(item)
-    grams = {tuple(item[i : i + run]) for i in range(n - run + 1)}
-    if any(tuple(post[i : i + run]) in grams for i in range(len(post) - run + 1)):
-        return True
     width = int(n * 1.5) + 1
     return any(lcs(item, post[i : i + width]) * 4 >= 3 * n for i in range(max(1, len(post))))
 
 
-def test_items_against_brute_force():
-    rng = random.Random(5)
+def cases(seed, scattered):
+    """Items and posts that hold parts of them, some scattered over the post."""
+    rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(40)]
-    hits = 0
     for _ in range(150):
         item = [rng.choice(vocabulary) for _ in range(rng.randint(4, 30))]
-        post = [rng.choice(vocabulary + ["zz"] * 10) for _ in range(rng.randint(0, 80))]
-        part = [w for w in item if rng.random() > rng.choice([0, 0.2, 0.3])]
-        for _ in range(rng.randint(0, 4)):
-            part.insert(rng.randint(0, len(part)), "noise")
+        post = [rng.choice(vocabulary + ["zz"] * 30) for _ in range(rng.randint(0, 60))]
+        part = [w for w in item if rng.random() > rng.choice([0, 0.2, 0.3])][rng.randint(0, 3) :]
         at = rng.randint(0, len(post))
-        post[at:at] = part[rng.randint(0, 3) :]
-        index = Items(12)
-        index.add(1, item)
-        index.order({w: rng.randint(0, 5) for w in vocabulary})
-        want = brute(item, post, 12)
-        assert (1 in index.found(post)) == want
-        hits += want
-    assert 20 < hits < 140
-
-
-def test_whole_post_against_brute_force():
-    rng = random.Random(6)
-    vocabulary = [f"w{i}" for i in range(40)]
-    hits = wide = 0
-    for _ in range(150):
-        item = [rng.choice(vocabulary) for _ in range(rng.randint(4, 30))]
-        post = [rng.choice(vocabulary + ["zz"] * 30) for _ in range(rng.randint(0, 20))]
-        for w in item:
-            if rng.random() > 0.2:
-                post += [w] + [rng.choice(vocabulary + ["zz"] * 100) for _ in range(rng.choice([0, 0, 1, 6]))]
-        index = Items(12, slack=None)
-        index.add(1, item)
-        index.order({w: rng.randint(0, 5) for w in vocabulary})
-        want = brute(item, post, 12) or lcs(item, post) * 4 >= 3 * len(item)
-        assert (1 in index.found(post)) == want
-        hits += want
-        wide += want and not brute(item, post, 12)
-    assert 20 < hits < 140 and wide > 10
+        for w in reversed(part):
+            post[at:at] = [w] + ([rng.choice(vocabulary + ["zz"] * 100) for _ in range(rng.choice([0, 0, 1, 6]))] if scattered else [])
+        yield item, post
+
+
+def test_exact_checks_against_brute_force():
+    for seed, slack in ((5, 1.5), (6, None)):
+        hits = 0
+        for item, post in cases(seed, slack is None):
+            run = brute_run(item, post)
+            ordered = brute_ordered(item, post) if slack else lcs(item, post) * 4 >= 3 * len(item)
+            assert holds_run(item, post, 12) == run and in_order(item, post, slack) == ordered
+            hits += run or ordered
+        assert 20 < hits < 140
+
+
+@pytest.mark.parametrize("slack", [1.5, None])
+def test_join_against_brute_force(spark, slack, monkeypatch):
+    """All items with all posts, and a key table so full that it lets nearly everything through gives the same."""
+    made = list(cases(8, slack is None))
+    items, posts = [m[0] for m in made], [m[1] for m in made]
+    want = {(j, i) for i, item in enumerate(items) for j, post in enumerate(posts) if brute_run(item, post) or (brute_ordered(item, post) if slack else lcs(item, post) * 4 >= 3 * len(item))}
+    d = spark.createDataFrame([(j, " ".join(p)) for j, p in enumerate(posts)], "doc_id bigint, text string")
+    i = spark.createDataFrame([(i, "en", " ".join(t)) for i, t in enumerate(items)], "item_id bigint, lang string, text string")
+    assert {tuple(r) for r in leaked_items(d, i, slack=slack).collect()} == want and len(want) > 50
+    monkeypatch.setattr(leakage, "MOST_BITS", 1 << 12)
+    assert {tuple(r) for r in leaked_items(d, i, slack=slack).collect()} == want
+
+
+def test_the_work_has_the_same_steps_however_many_items(spark, monkeypatch):
+    w, steps, write = ITEM.split(), [], leakage.materialize
+    monkeypatch.setattr(leakage, "materialize", lambda df, label, **k: steps.append(label) or write(df, label, **k))
+    docs = spark.createDataFrame([(k, " ".join(w[k % 9 : k % 9 + 13]) + f" word{k}") for k in range(40)], "doc_id bigint, text string")
+    for n in (1, 30):
+        items = spark.createDataFrame([(i, "en", ITEM + f" tail{i}" * 3) for i in range(n)], "item_id bigint, lang string, text string")
+        assert leaked_items(docs, items).count() == 40 * n
+    assert steps[: len(steps) // 2] == steps[len(steps) // 2 :] and steps.count("held") == 2
 
 
 def test_query_takes_the_whole_post(spark, tmp_path):
@@ -76,6 +88,7 @@ def test_query_takes_the_whole_post(spark, tmp_path):
 
 
 def test_tokens():
+    assert words("a <" + "b " * 400 + "> c") == ["a", "c"]  # markup of any length
     assert words("The <b>miller's</b> cart_ &amp; [x](https://a.b/c) Straße") == ["the", "miller", "s", "cart", "x", "strasse"]
     assert characters("翌朝、 塩") == list("翌朝塩")
 
