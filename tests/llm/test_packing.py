@@ -3,7 +3,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from graphloom.llm.packing import combinations, encoder, fill_report, nnls, pack, plan, TOKENIZER
+from graphloom.llm import packing
+from graphloom.llm.packing import _best_fit, combinations, encoder, fill_report, nnls, pack, plan, TOKENIZER
 
 
 def unpack(p):
@@ -49,7 +50,36 @@ def test_nnls_meets_its_conditions():
 def test_combinations_fill_the_window():
     bins = np.array([1, 3, 5, 7, 9])
     want = {c for c in [(9,)] + [(x, y) for x in bins for y in bins if x >= y] + [(x, y, z) for x in bins for y in bins for z in bins if x >= y >= z] if 8 <= sum(c) <= 9}
-    assert {tuple(map(int, c)) for c in combinations(bins, 9, 2)} == {tuple(map(int, c)) for c in want}
+    assert {tuple(map(int, c)) for c, _ in combinations(bins, 9, 2)} == {tuple(map(int, c)) for c in want}
+    filled = combinations(np.array([5, 7]), 16, 1, [4, 1])
+    assert ((7, 7), (0, 2)) in filled and ((5,), (2, 3)) in filled and all(sum(c) + 4 * x + y == 16 for c, (x, y) in filled)
+
+
+def alone(histogram, capacity):
+    patterns = []
+    _best_fit(patterns, dict(histogram), capacity)
+    return sum(p[1] for p in patterns)
+
+
+@pytest.mark.parametrize("capacity", [256, 512, 1024, 2048, 4096])
+def test_least_squares_places_items_and_never_costs_a_container(capacity):
+    shares = []
+    for seed, (mean, spread) in enumerate([(4.4, 0.9), (3.9, 1.1), (5.0, 0.8)]):
+        rng = np.random.default_rng(seed)
+        sizes = np.clip(rng.lognormal(mean, spread, 60_000).astype(int), 1, capacity)
+        histogram = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True))))
+        p = plan(histogram, capacity)
+        assert p.containers <= alone(histogram, capacity)
+        shares.append(p.solved / len(sizes))
+    assert min(shares) > 0.2 and max(shares) > 0.5  # few where best-fit alone leaves no room at all
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_no_plan_takes_more_containers_than_best_fit(seed):
+    rng = random.Random(100 + seed)
+    capacity = rng.choice([3, 16, 50, 256, 700])
+    histogram = {rng.randint(1, capacity): rng.choice([1, 2, 30, 400]) for _ in range(rng.randint(1, 40))}
+    assert plan(histogram, capacity).containers <= alone(histogram, capacity)
 
 
 def test_table(spark):
@@ -87,6 +117,20 @@ def test_empty(spark):
     assert pack(spark.createDataFrame([(1, "a b")], docs.schema), caps.limit(0)).count() == 0
 
 
-def test_unbounded_capacities_are_refused(spark):
-    with pytest.raises(ValueError):
-        pack(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), spark.createDataFrame([(1, 1 << 20)], "pack_id int, max_tokens int"))
+def test_long_and_many_capacities(spark, monkeypatch):
+    """Capacities beyond the histogram's rows are planned in units; more of them than are handled at once go in turn."""
+    monkeypatch.setattr(packing, "ROWS", 8)
+    monkeypatch.setattr(packing, "LEAST_ROWS", 8)
+    monkeypatch.setattr(packing, "TOGETHER", 2)
+    docs = spark.createDataFrame([(i, "word " * (i % 40)) for i in range(120)], "doc_id bigint, text string")
+    sizes = {i: len(encoder(TOKENIZER).encode_ordinary("word " * (i % 40))) for i in range(120)}
+    out = pack(docs, spark.createDataFrame([(1, 1 << 20), (2, 100), (3, 37)], "pack_id int, max_tokens int")).collect()
+    for pack_id, cap in ((1, 1 << 20), (2, 100), (3, 37)):
+        used, tokens = Counter(), Counter()
+        for r in out:
+            if r.pack_id == pack_id:
+                tokens[r.doc_id] += r.n_tokens
+                used[r.container_id] += r.n_tokens
+        assert tokens == Counter(sizes) and max(used.values()) <= cap
+        used.pop(None, None)
+        assert set(used) == set(range(len(used)))
