@@ -17,14 +17,17 @@ Defined results
     * a record wrapped in ``{"record": ...}`` or in a list of one counts as the record; of a longer
       list the first object counts.
     * extra members are scalars of their object (nested ones as JSON text) and disturb nothing.
-    * a member named twice: the last one counts.
+    * a member named twice: the last one counts (a plan of ``adjacency`` that is run on its own needs the session's
+      ``spark.sql.variant.allowDuplicateKeys`` for that; ``shred_functions`` sets it while it runs).
 """
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.storage import materialize
@@ -82,19 +85,30 @@ def parse_complete(text: Column) -> Column:
     return _let(_array(F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]")))), lambda items: F.when(F.size(items) == 1, items[0]))
 
 
+def _inside(v: Column) -> Column:
+    """What a member given as JSON text holds, else null; asked only of members that are neither list nor object."""
+    return _let(_text(v), lambda t: F.when(t.rlike("^[\\s\\uFEFF]*[\\[{]"), parse_complete(t)))
+
+
 def _opened(v: Column) -> Column:
     """A member as an object or list, also where it is given as JSON text."""
-    plain = _let(_text(v), lambda t: F.when(t.rlike("^[\\s\\uFEFF]*[\\[{]"), parse_complete(t)))
-    return F.when(_array(v).isNotNull() | _map(v).isNotNull(), v).otherwise(plain)
+    return F.when(_array(v).isNotNull() | _map(v).isNotNull(), v).otherwise(_inside(v))
+
+
+def _list_or_one(v: Column) -> Column:
+    return F.coalesce(_array(v), F.when(_map(v).isNotNull(), F.array(v)))
 
 
 def _as_list(v: Column) -> Column:
-    none = F.expr("cast(array() as array<variant>)")
-    return _let(_opened(v), lambda w: F.coalesce(_array(w), F.when(_map(w).isNotNull(), F.array(w)), none))
+    return F.coalesce(_list_or_one(v), _let(_inside(v), _list_or_one), F.expr("cast(array() as array<variant>)"))
+
+
+def _object_or_first(v: Column) -> Column:
+    return F.coalesce(_map(v), _let(_array(v), lambda a: F.when(F.size(a) > 0, _map(a[0]))))
 
 
 def _as_object(v: Column) -> Column:
-    return _let(_opened(v), lambda w: F.coalesce(_map(w), _let(_array(w), lambda a: F.when(F.size(a) > 0, _map(a[0])))))
+    return F.coalesce(_object_or_first(v), _let(_inside(v), _object_or_first))
 
 
 def _row(node: Column, parent: Column, label: Column, ordinal: Column, kind: str, scalar: Column) -> Column:
@@ -103,67 +117,96 @@ def _row(node: Column, parent: Column, label: Column, ordinal: Column, kind: str
     )
 
 
-def _object_nodes(value: Column, entity: Entity, node: Column, parent: Column, ordinal: Column) -> Column:
-    """All nodes of one object: itself, its scalar members, and those of the entities below."""
+def _object_nodes(value: Column, entity: Entity, node: Column, parent: Column, ordinal: Column, extra: bool, plain: bool = False) -> Column:
+    """All nodes of one object: itself, its scalar members, and those of the entities below. ``plain``: its members are texts."""
     nested = [c.label for c in entity.children]
 
     def nodes(obj: Column) -> Column:
         scalars = F.transform(
-            F.filter(F.map_entries(obj), lambda e: ~e["key"].isin(nested) if nested else F.lit(True)),
-            lambda e: _row(F.concat(node, F.lit("."), e["key"]), node, e["key"], F.lit(0), "scalar", _text(e["value"])),
+            F.filter(F.map_entries(obj), lambda e: (~e["key"].isin(nested) if nested else F.lit(True)) if extra else e["key"].isin(*entity.scalars)),
+            lambda e: _row(F.concat(node, F.lit("."), e["key"]), node, e["key"], F.lit(0), "scalar", e["value"] if plain else _text(e["value"])),
         )
         parts = [F.array(_row(node, parent, F.lit(entity.label), ordinal, "object", F.lit(None))), scalars]
-        parts += [_let(obj[child.label], _members_of(child, node)) for child in entity.children]
+        parts += [_let(obj[child.label], _members_of(child, node, extra)) for child in entity.children]
         return F.when(obj.isNull(), F.array().cast(NODE_TYPE)).otherwise(F.flatten(F.array(*parts)))
 
     return _let(value, nodes)
 
 
-def _list_nodes(items: Column, entity: Entity, node: Column) -> Column:
+def _list_nodes(items: Column, entity: Entity, node: Column, extra: bool) -> Column:
     return F.flatten(
-        F.transform(items, lambda v, i: _let(F.concat(node, F.lit("/" + entity.tag), i.cast("string")), lambda own: _object_nodes(_as_object(v), entity, own, node, i)))
+        F.transform(items, lambda v, i: _let(F.concat(node, F.lit("/" + entity.tag), i.cast("string")), lambda own: _object_nodes(_as_object(v), entity, own, node, i, extra)))
     )
 
 
-def _member_nodes(v: Column, entity: Entity, node: Column) -> Column:
+def _items_nodes(v: Column, entity: Entity, node: Column, extra: bool) -> Column:
+    """Nodes of a member that should be a list of objects.
+
+    A cast to variants builds each of them anew, so a list that is as it should be is opened in one cast down to the
+    objects' members; anything else (an object or text in its place, null or odd elements) goes step by step."""
+    whole = v.try_cast(f"array<map<string,{'variant' if entity.children else 'string'}>>")
+    plain = not entity.children
+
+    def nodes(items: Column) -> Column:
+        each = F.transform(items, lambda m, i: _let(F.concat(node, F.lit("/" + entity.tag), i.cast("string")), lambda own: _object_nodes(m, entity, own, node, i, extra, plain)))
+        return F.when(items.isNotNull() & ~F.exists(items, lambda m: m.isNull()), F.flatten(each)).otherwise(_list_nodes(_as_list(v), entity, node, extra))
+
+    return _let(whole, nodes)
+
+
+def _member_nodes(v: Column, entity: Entity, node: Column, extra: bool) -> Column:
     if not entity.single:
-        return _list_nodes(_as_list(v), entity, node)
+        return _items_nodes(v, entity, node, extra)
     standing = next((c for c in entity.children if c.label == entity.list_is), None)
 
     def nodes(own: Column) -> Column:
         if standing is None:
-            return _object_nodes(_as_object(v), entity, own, node, F.lit(0))
+            return _object_nodes(_as_object(v), entity, own, node, F.lit(0), extra)
         return _let(
             _opened(v),
             lambda w: F.when(
                 _array(w).isNotNull(),
-                F.concat(F.array(_row(own, node, F.lit(entity.label), F.lit(0), "object", F.lit(None))), _list_nodes(_array(w), standing, own)),
-            ).otherwise(_object_nodes(_map(w), entity, own, node, F.lit(0))),
+                F.concat(F.array(_row(own, node, F.lit(entity.label), F.lit(0), "object", F.lit(None))), _items_nodes(w, standing, own, extra)),
+            ).otherwise(_object_nodes(_map(w), entity, own, node, F.lit(0), extra)),
         )
 
     return _let(F.concat(node, F.lit("/" + entity.tag)), nodes)
 
 
-def _members_of(child: Entity, node: Column):
-    return lambda v: _member_nodes(v, child, node)
+def _members_of(child: Entity, node: Column, extra: bool):
+    return lambda v: _member_nodes(v, child, node, extra)
 
 
 def _unwrap(v: Column, wrapper: str) -> Column:
     return _let(_as_object(v), lambda obj: F.coalesce(_as_object(obj[wrapper]), obj))
 
 
+@contextlib.contextmanager
+def _members_named_twice(spark: SparkSession) -> Iterator[None]:
+    """While a plan runs in it, the last of two members of one name counts; the session's own setting comes back."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def adjacency(
-    df: DataFrame, key: str, payload: str, order: str | None = None, entity: Entity = FUNCTION_RECORD, wrapper: str = "record"
+    df: DataFrame, key: str, payload: str, order: str | None = None, entity: Entity = FUNCTION_RECORD, wrapper: str = "record", extra: bool = True
 ) -> DataFrame:
-    """The adjacency table ``(key, node, parent, label, ordinal, kind, scalar)`` of a column of JSON texts."""
-    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    """The adjacency table ``(key, node, parent, label, ordinal, kind, scalar)`` of a column of JSON texts.
+
+    Every payload is parsed once, before repeated deliveries meet, and the parsed value goes through that shuffle.
+    Without ``extra`` only the scalars that the entities name become rows."""
     rows = df.select(F.col(key).alias("key"), F.col(payload).alias("payload"), (F.col(order) if order else F.lit(None).cast("timestamp")).alias("at"))
     rows = rows.where(F.col("key").isNotNull() & F.col("payload").isNotNull())
-    rank = F.struct(parse_complete(F.col("payload")).isNotNull(), F.col("at"), F.col("payload"))
-    once = rows.groupBy("key").agg(F.max_by("payload", rank).alias("payload"))
-    record = _let(parse_complete(F.col("payload")), lambda v: _unwrap(v, wrapper))
+    parsed = rows.select("key", "payload", "at", parse_complete(F.col("payload")).alias("v")).where(F.col("v").isNotNull())
+    once = parsed.groupBy("key").agg(F.max_by("v", F.struct("at", "payload")).alias("v"))
+    record = _unwrap(F.col("v"), wrapper)
     root = F.lit(entity.tag)
-    nodes = once.select("key", F.explode(_object_nodes(record, entity, root, F.lit(None).cast("string"), F.lit(0))).alias("n"))
+    nodes = once.select("key", F.explode(_object_nodes(record, entity, root, F.lit(None).cast("string"), F.lit(0), extra)).alias("n"))
     return nodes.select("key", "n.*")
 
 
@@ -184,7 +227,8 @@ def shred_functions(df: DataFrame, key: str = "record_id", payload: str = "paylo
 
     functions(key, name, ...); parameters(key, pos, name, ...); returns(key, pos, ...);
     expanded(key, branch, pos, sub_pos, ...), where (key, branch, pos) names the parent row."""
-    nodes = materialize(adjacency(df, key, payload, order), "nodes")
+    with _members_named_twice(df.sparkSession):
+        nodes = materialize(adjacency(df, key, payload, order, extra=False), "nodes", by="kind")
     functions = entity_table(nodes, FUNCTION_RECORD).join(
         entity_table(nodes, RETURN_SPEC).select(F.col("key"), F.col("parent").alias("node"), "multiple"), ["key", "node"], "left"
     )
