@@ -24,14 +24,18 @@ def query(name: str, sql: str | None = None):
 # ---------------------------------------------------------------- 4 source files
 
 
+def _excluded(spark, d):
+    return source_filter.excluded_folders(table(spark, d, "repo_configs"))
+
+
 @query("p4_found")
 def p4_found(spark, d):
-    return source_filter.not_hand_written(table(spark, d, "source_files")).select("file_id")
+    return source_filter.not_hand_written(table(spark, d, "source_files"), excluded=_excluded(spark, d)).select("file_id")
 
 
 @query("p4_kinds")
 def p4_kinds(spark, d):
-    return source_filter.classify(table(spark, d, "source_files")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_files"))
+    return source_filter.classify(table(spark, d, "source_files"), excluded=_excluded(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 @query(
@@ -44,7 +48,7 @@ select distinct repo_id, folder from (
   from (select repo_id, unnest(exclude) as e from latest)) where folder <> ''""",
 )
 def p4_excluded(spark, d):
-    return source_filter.excluded_folders(table(spark, d, "repo_configs"))
+    return _excluded(spark, d)
 
 
 # ---------------------------------------------------------------- 6 packing

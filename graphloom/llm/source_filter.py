@@ -14,6 +14,8 @@ prove is then compared with all proven contents of its bands, in parts of bounde
 
 Defined results
     * null, empty or blank content: hand-written, unless its folder is a third-party one.
+    * a content of fewer than ``LEAST_SHINGLES`` shingles is no evidence for its twins elsewhere, nor they for it.
+    * folders named ``deps`` or ``external`` count only with a project's own folder below them.
     * a file scanned more than once: the latest scan counts (then the greatest content digest).
     * a null path or language: only the content decides, by the default thresholds.
 """
@@ -23,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,9 @@ from graphloom.storage import materialize
 #: fixed values: folders that hold third-party code
 VENDOR_FOLDERS = ("vendor", "third_party", "thirdparty", "node_modules", "bower_components", "deps", "external", "site-packages")
 
+#: those of them that hand-written helper modules also lie in: a project's own folder has to follow
+LOOSE_FOLDERS = ("deps", "external")
+
 #: fixed values: how generators' comments begin, in several languages
 MARKERS = re.compile(
     r"""(?ix) ^ (?: (?:this\ file\ (?:is|was)\ )? (?:code\ )?(?:auto(?:matically)?[\ -]?)?generated\ (?:by|from|with|file|:)
@@ -47,8 +52,10 @@ MARKERS = re.compile(
     | automatisch\ (?:erzeugt|generiert) | fichier\ (?:engendré|généré) | archivo\ generado | generado\ autom )"""
 )
 NEGATED = re.compile(r"(?i)\b(?:no longer|any ?more|not generated|this file may be)\b")
-# a line that begins with the project; each start is tried in linear time, however long a banner is
-LICENCE = re.compile(r"(?im)^(?:[^\w\n]*+|[^\w\n]*?(?<![.-])(?=[.-]))([\w.-]++)\s++v?\d++(?:\.\d++)++\W++copyright\s++\(c\)\s++\d{4}\s++the\s++\1\s++authors")
+# a line that begins with the project and its version; each start is tried in linear time, however long a banner is
+PROJECT = re.compile(r"(?im)^(?:[^\w\n]*+|[^\w\n]*?(?<![.-])(?=[.-]))(?:@?license\s++)?([a-z][\w./-]*+)\s++v?\d++(?:\.\d++)++(?![\w.])")
+RIGHTS_NEXT = re.compile(r"(?i)[^\w(©]*+(?:copyright\b|©|\(c\)\s|licen[sc]ed?\b|spdx-|all rights reserved\b)")
+RIGHTS = re.compile(r"(?i)\bcopyright\b|©|\(c\)|\blicen[sc]ed?\b|\bspdx-|\ball rights reserved\b")
 
 
 @dataclass(frozen=True)
@@ -65,7 +72,18 @@ class Limits:
     period_lines: int = 20
 
 
-LIMITS = {"java": Limits(long_line=220), "python": Limits(long_line=180), "go": Limits(), "javascript": Limits(), "typescript": Limits()}
+#: tuned on the statistics of each language: README has them. None: no or another language
+LIMITS = {
+    "java": Limits(long_line=220, mean_line=130, period=0.75),
+    "python": Limits(long_line=180, mean_line=110, space_share=0.1, period=0.75),
+    "go": Limits(mean_line=100, period=0.78),
+    "javascript": Limits(mean_line=120, period=0.75),
+    "typescript": Limits(mean_line=120, period=0.8),
+}
+#: part of the thresholds that suffices in a folder which the configuration excludes
+RELAXED = 0.9
+#: shingles from which the same or a similar content elsewhere is evidence
+LEAST_SHINGLES = 10
 
 _COMMENT = re.compile(r"\s*(?://|\#|/\*|\*|<!--)")
 _MARK = re.compile(r"^\s*(?:/\*+|\*+/?|//+|#+)\s?")
@@ -146,16 +164,31 @@ def marked(text: str) -> bool:
     return False
 
 
+def limits(language: str | None, share: float = 1.0) -> Limits:
+    lim = LIMITS.get((language or "").lower(), Limits())
+    return replace(lim, **{f: getattr(lim, f) * share for f in ("long_share", "data_share", "encoded_share", "period")}) if share != 1 else lim
+
+
 def layout_kind(text: str, language: str | None) -> str | None:
     """'generated', 'minified', 'data', or None for hand-written layout."""
+    return layout_kinds(text, language)[0]
+
+
+def layout_kinds(text: str, language: str | None) -> tuple[str | None, str | None]:
+    """The kind by the thresholds, and the kind in an excluded folder; one computation of the statistics."""
     if not text or not text.strip():
-        return None
-    lim, s = LIMITS.get((language or "").lower(), Limits()), statistics(text)
+        return None, None
+    s, mark = statistics(text), marked(text)
+    strict = _kind(s, mark, limits(language))
+    return strict, strict or _kind(s, mark, limits(language, RELAXED))
+
+
+def _kind(s: dict[str, float], mark: bool, lim: Limits) -> str | None:
     if s["lines"] and s["data"] >= lim.data_share and s["lines"] + s["max_line"] > 60:
         return "data"
     if s["run"] >= lim.encoded_run and s["encoded"] >= lim.encoded_share:
         return "data"
-    if s["lines"] >= lim.period_lines and s["period"] >= lim.period or marked(text):
+    if s["lines"] >= lim.period_lines and s["period"] >= lim.period or mark:
         return "generated"
     long = s[f"long_{lim.long_line}"]
     if long >= lim.long_share or (s["mean_line"] >= lim.mean_line and s["space"] <= lim.space_share and s["alnum"] >= lim.alnum_share and long >= 0.3):
@@ -164,7 +197,8 @@ def layout_kind(text: str, language: str | None) -> str | None:
 
 
 def vendored_path(path: str | None) -> bool:
-    return bool(path) and any(part in VENDOR_FOLDERS for part in path.replace("\\", "/").lower().split("/")[:-1])
+    folders = path.replace("\\", "/").lower().split("/")[:-1] if path else []
+    return any(part in VENDOR_FOLDERS and (part not in LOOSE_FOLDERS or i + 1 < len(folders)) for i, part in enumerate(folders))
 
 
 def leading(lines: list[str]) -> Iterator[str]:
@@ -186,11 +220,15 @@ def leading(lines: list[str]) -> Iterator[str]:
 
 
 def licensed(text: str) -> bool:
-    """A header that names another project, its version and its authors."""
+    """A header above the code that begins a line with a project and its version and speaks of rights in it."""
     lines = _BREAK.split(text.removeprefix("\ufeff"))
     body = "\n".join(lines)
     first = body.rfind("\n", 0, _NO_WORD.match(body).end()) + 1  # with marks of any language
-    return bool(LICENCE.match(body, first) or LICENCE.search("\n".join(_MARK.sub("", x) for x in leading(lines))))
+    head = "\n".join(_MARK.sub("", x) for x in leading(lines))
+    m = PROJECT.match(body, first)
+    if m and RIGHTS_NEXT.match(body, m.end()):
+        return True
+    return bool(PROJECT.search(head)) and bool(RIGHTS.search(head))
 
 
 def shingles(text: str) -> np.ndarray:
@@ -219,19 +257,21 @@ def bands(s: np.ndarray) -> list[int]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kinds, evidence, keys, sizes = [], [], [], []
+        kinds, weak, evidence, keys, sizes = [], [], [], [], []
         for path, language, text in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "content"))):
             text = text or ""
-            kind = layout_kind(text, language)
+            kind, relaxed = layout_kinds(text, language)
             proof = vendored_path(path) or licensed(text)
             kinds.append(kind)
+            weak.append(relaxed)
             evidence.append(proof)
             s = shingles(text) if kind is None or proof else shingles("")
+            s = s if len(s) >= LEAST_SHINGLES else s[:0]
             keys.append(bands(s))
             sizes.append(int(math.log(len(s), 1.25)) if len(s) else 0)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("file_id"), batch.column("at"), batch.column("digest"), pa.array(kinds, pa.string()), pa.array(evidence, pa.bool_()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32())],
-            ["file_id", "at", "digest", "kind", "evidence", "bands", "size"],
+            [batch.column("file_id"), batch.column("at"), batch.column("digest"), pa.array(kinds, pa.string()), pa.array(weak, pa.string()), pa.array(evidence, pa.bool_()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32())],
+            ["file_id", "at", "digest", "kind", "weak", "evidence", "bands", "size"],
         )
 
 
@@ -251,15 +291,17 @@ def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return materialize(both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("digest").distinct(), "alike")
 
 
-def classify(df: DataFrame, file_id: str = "file_id", path: str = "file", language: str = "language", content: str = "content", scanned: str = "scanned_at", similarity: float = 0.8) -> DataFrame:
-    """``(file_id, kind)`` of all files: kind is 'generated', 'minified', 'data', 'vendored' or 'hand-written'."""
+def classify(df: DataFrame, file_id: str = "file_id", path: str = "file", language: str = "language", content: str = "content", scanned: str = "scanned_at", similarity: float = 0.8, excluded: DataFrame | None = None, repo_id: str = "repo_id") -> DataFrame:
+    """``(file_id, kind)`` of all files: kind is 'generated', 'minified', 'data', 'vendored' or 'hand-written'.
+
+    ``excluded`` holds (repo_id, folder) as ``excluded_folders`` gives them."""
     ship(df.sparkSession)
     rows = df.where(F.col(file_id).isNotNull()).select(
         F.col(file_id).alias("file_id"), F.col(scanned).alias("at"), F.md5(F.coalesce(content, F.lit(""))).alias("digest"), F.col(path).alias("path"), F.col(language).alias("language"), F.col(content).alias("content")
     )
     types = dict(rows.dtypes)
-    seen = rows.mapInArrow(_scan, f"file_id {types['file_id']}, at {types['at']}, digest string, kind string, evidence boolean, bands array<bigint>, size int")
-    latest = seen.groupBy("file_id").agg(F.max_by(F.struct("digest", "kind", "evidence", "bands", "size"), F.struct("at", "digest", "evidence")).alias("r"))
+    seen = rows.mapInArrow(_scan, f"file_id {types['file_id']}, at {types['at']}, digest string, kind string, weak string, evidence boolean, bands array<bigint>, size int")
+    latest = seen.groupBy("file_id").agg(F.max_by(F.struct("digest", "kind", "weak", "evidence", "bands", "size"), F.struct("at", "digest", "evidence")).alias("r"))
     files = materialize(latest.select("file_id", "r.*"), "files")
     # distinct contents; every copy of one has the same bands
     classes = files.where(F.size("bands") > 0).groupBy("digest").agg(F.max("evidence").alias("evidence"), F.first("bands").alias("bands"), F.first("size").alias("size"))
@@ -278,10 +320,27 @@ def classify(df: DataFrame, file_id: str = "file_id", path: str = "file", langua
     alike = alike.union(_alike(rest.join(others, ["band", "size", "part"]), texts, similarity))
     proven = classes.where("evidence").select("digest").union(alike).withColumn("copied", F.lit(True))
     out = files.join(proven, "digest", "left")
-    kind = F.when(F.col("evidence") | F.coalesce("copied", F.lit(False)), "vendored").otherwise(F.coalesce("kind", F.lit("hand-written")))
+    layout = F.col("kind")
+    if excluded is not None:
+        out = out.join(_in_excluded(df, file_id, path, repo_id, excluded), "file_id", "left")
+        layout = F.when(F.col("excluded"), F.col("weak")).otherwise(F.col("kind"))
+    kind = F.when(F.col("evidence") | F.coalesce("copied", F.lit(False)), "vendored").otherwise(F.coalesce(layout, F.lit("hand-written")))
     return out.select(F.col("file_id").alias(file_id), kind.alias("kind"))
 
 
+def _in_excluded(df: DataFrame, file_id: str, path: str, repo_id: str, excluded: DataFrame) -> DataFrame:
+    """(file_id, excluded) of the files below an excluded folder of their repository; contents take no part.
+
+    A file lists the folders it lies in, by name and as paths from the root, and meets the entries by equality."""
+    parts = F.transform(F.split(F.regexp_replace(path, "\\\\", "/"), "/"), lambda p: F.trim(p))
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    roots = F.transform(F.sequence(F.lit(1), F.greatest(F.size(folders), F.lit(1))), lambda n: F.array_join(F.slice(folders, F.lit(1), n), "/"))
+    rows = df.where(F.col(file_id).isNotNull() & F.col(path).isNotNull() & F.col(repo_id).isNotNull())
+    below = rows.select(F.col(file_id).alias("file_id"), F.col(repo_id).alias("repo_id"), F.explode(F.array_distinct(F.concat(folders, roots))).alias("folder")).where(F.col("folder") != "")
+    entries = excluded.select("repo_id", "folder").distinct()
+    return below.join(entries, ["repo_id", "folder"], "left_semi").select("file_id").distinct().withColumn("excluded", F.lit(True))
+
+
 def not_hand_written(df: DataFrame, **columns) -> DataFrame:
     kinds = classify(df, **columns)
     return kinds.where(F.col("kind") != "hand-written")

@@ -3,8 +3,11 @@ import math
 import random
 from unittest import mock
 
+import pytest
+
 from graphloom.llm import source_filter
-from graphloom.llm.source_filter import _STRING, bands, classify, excluded_folders, layout_kind, licensed, marked, shingles, statistics, vendored_path, without_strings
+from graphloom.llm.source_filter import RELAXED, _STRING, bands, classify, excluded_folders, layout_kind, licensed, limits, marked, shingles, statistics, vendored_path, without_strings
+from pyspark.sql import functions as F
 
 NAMES = [f"{a}{b}" for a in ("order", "user", "cart", "stock", "price", "report", "ticket", "wallet") for b in ("Id", "Name", "Total", "State", "Code")]
 
@@ -90,7 +93,7 @@ def test_table(spark):
     patched = library.replace("log.warning", "log.error", 1)
     rows = [
         (1, "vendor/lib/a.py", library), (2, "src/a.py", library), (3, "src/b.py", patched), (4, "src/own.py", hand(12)), (5, "src/own_copy.py", hand(12)), (6, "src/gen.ts", GETTERS), (7, "src/m.js", MINIFIED), (8, "src/d.js", NUMBERS),
-        (9, "src/empty.py", ""), (10, None, None), (11, "deps/x.py", None), (12, "src/lic.py", "# foo-bar 1.2\n# Copyright (c) 2011 the foo-bar authors\n" + hand(13)),
+        (9, "src/empty.py", ""), (10, None, None), (11, "deps/lib/x.py", None), (12, "src/lic.py", "# foo-bar 1.2\n# Copyright (c) 2011 the foo-bar authors\n" + hand(13)),
     ]
     data = [(i, p, None if i % 2 else "python", c, None, "z", "y") for i, p, c in rows] + [(4, "src/own.py", "python", hand(12), None, "z", "y"), (None, "x", None, GETTERS, None, None, None)]
     df = spark.createDataFrame(data, "file_id bigint, file string, language string, content string, scanned_at timestamp, kind string, digest string")
@@ -123,3 +126,43 @@ def test_middle_version_proves_its_copy(spark):
 def test_excluded_folders(spark):
     df = spark.createDataFrame([(1, 1, ["old"], None), (1, 2, [" ./vendor/ ", "vendor", "", None, "dist"], None), (2, 1, None, None), (3, 1, [], None), (None, 1, ["x"], None)], "repo_id bigint, version int, exclude array<string>, updated_at timestamp")
     assert {(r.repo_id, r.folder) for r in excluded_folders(df).collect()} == {(1, "vendor"), (1, "dist")}
+
+
+def test_stubs_and_helpers_in_third_party_folders_condemn_no_twins(spark):
+    stub = "package util\n"
+    helper = "\n".join(f"func Pick{w}(a int) int {{ return a + {i} }}  // {w} of the {w} table" for i, w in enumerate(["One", "Last", "Left", "Odd"]))
+    rows = [(1, "vendor/acme/util/doc.go", stub), (2, "src/util/doc.go", stub), (3, "src/deps/helper.go", helper), (4, "src/external/pick.go", helper + "\n// own"), (5, "deps/acme/pick.go", hand(21)), (6, "lib/pick.go", hand(21))]
+    df = spark.createDataFrame([(i, f, "go", t, None) for i, f, t in rows], "file_id bigint, file string, language string, content string, scanned_at timestamp")
+    got = {r.file_id: r.kind for r in classify(df).collect()}
+    assert got == {1: "vendored", 2: "hand-written", 3: "hand-written", 4: "hand-written", 5: "vendored", 6: "vendored"}
+
+
+@pytest.mark.parametrize(
+    "header, third",
+    [
+        ("/*! lumen-grid v3.6.0 | (c) Lumen Foundation | lumen.example/license */", True),
+        ("// slate.js 2.4.1\n// Licensed under the MIT License", True),
+        ("# brasskit 0.9.12\n#\n# SPDX-License-Identifier: Apache-2.0", True),
+        ("/**\n * @license reedbox v1.2.0\n * All rights reserved.\n */", True),
+        ("// Copyright (c) the project. Internal use.", False),
+        ("// needs python 3.11 or later", False),
+        ("// Licensed under the MIT License", False),
+        ("# release 2.0.1 changed the order of the rows", False),
+    ],
+)
+def test_headers_of_other_projects(header, third):
+    code = "\nfunction pick(a) {\n  return a + 1; // Copyright (c) nobody, slate.js 2.4.1\n}\n"
+    assert licensed(header + code) == third
+
+
+def test_excluded_folders_lower_the_thresholds(spark):
+    lines = [f"set_value({i}, {i * 3})" if i % 5 else f"{'other' + '.x' * i} = call([{i}])" for i in range(60)] + ["z = " + "(" * i + "a" + ")" * i for i in range(1, 9)]
+    text = "\n".join(lines)
+    share = statistics(text)["period"]
+    assert limits("python", RELAXED).period <= share < limits("python").period
+    rows = [(1, 7, "gen/a.py"), (2, 7, "src/gen/b.py"), (3, 7, "src/c.py"), (4, 8, "gen/d.py"), (5, 7, "api/v1/e.py"), (6, None, "gen/f.py"), (7, 7, None)]
+    df = spark.createDataFrame([(i, r, f, "python", text, None) for i, r, f in rows], "file_id bigint, repo_id bigint, file string, language string, content string, scanned_at timestamp")
+    configs = spark.createDataFrame([(7, ["./gen/", " api/v1", "", None], 1), (8, ["other"], 1)], "repo_id bigint, exclude array<string>, version int").withColumn("updated_at", F.lit(None).cast("timestamp"))
+    got = {r.file_id: r.kind for r in classify(df, excluded=excluded_folders(configs)).collect()}
+    assert got == {1: "generated", 2: "generated", 3: "hand-written", 4: "hand-written", 5: "generated", 6: "hand-written", 7: "hand-written"}
+    assert {r.kind for r in classify(df).collect()} == {"hand-written"}
