@@ -6,12 +6,13 @@ Thai, space is a gap to be classified:
 
 * spaced scripts: the lattice of terminators, with masks for links and inline code, nesting of quotes and
   brackets, abbreviations, initials, ordinals, versions, and the case or opening word of what follows;
-* spaceless scripts: a word lattice (least-cost path over a dictionary of closed-class words, unknown
-  characters at a higher cost; over 16 characters on each side of the gap) gives the word before and the
-  word behind the gap. At an ellipsis, a word that can't be final before it or an opening word behind it
-  goes on; a final particle before it outweighs the opening words that only stand behind nouns.
+* spaceless scripts: a word lattice over the whole run of such letters between two gaps (least-cost path over a
+  dictionary: closed-class words, and the words of a public tokenizer's vocabulary by their rank; unknown
+  characters at a higher cost) gives the word before and the word behind the gap. At an ellipsis, a word that can't
+  be final before it or an opening word behind it goes on; a final particle before it outweighs the opening words that
+  only stand behind nouns and, if it is one that closes a sentence for good, those that as well begin another.
 
-Everything is local to a post, so the operator is one Arrow pass next to the scan, without a shuffle.
+Looks to either side of a gap end at the unit's bounds only. Everything is local to a post, so the operator is one Arrow pass next to the scan, without a shuffle.
 
 Defined results: null, empty or blank texts give no sentences; a post with a null id keeps its null;
 repeated rows give repeated sentences; an unclosed fence runs to the end of the text.
@@ -19,7 +20,11 @@ repeated rows give repeated sentences; an unclosed fence runs to the end of the
 
 from __future__ import annotations
 
+import base64
+import math
+import os
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -29,6 +34,8 @@ from pyspark.sql import functions as F
 
 from graphloom.shipping import ship
 
+#: the vocabulary whose words of spaceless scripts are the lattice's content words
+VOCABULARY = os.environ.get("GRAPHLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 _BREAK = re.compile(r"\r\n|[\n\r\x85  ]")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})([^\n]*)$")
 _BULLET = re.compile(r"\s{0,3}(?:[-*+•‣▪]\s+)")
@@ -71,13 +78,24 @@ NOT_FINAL = frozenset(
 OPENING_ON = frozenset("说 问 道 写 想 喊 答 叫 然后 接着 就 便 后 又 と って という との とか など とは は が を に も の で ๆ ฯลฯ".split())
 #: fixed values: those of them that a finished predicate can't have behind it (はい, もう begin another sentence)
 NOUN_ON = frozenset("は を に も で".split())
-_LEXICON = FINAL | NOT_FINAL | OPENING_ON
-_LONGEST = max(map(len, _LEXICON))
+#: fixed values: final particles that close a sentence for good, and opening words that begin another one behind them
+CLOSING = frozenset("吗 呢 吧 啊 呀 嘛 啦 です ます でした ました ません ませんでした ですか ますか か ね よ よね ください ครับ ค่ะ คะ นะ".split())
+OPENING_NEW = frozenset("然后 接着 就 便 又 それで そして และ หรือ แต่ เพราะ".split())
+OPENING_ON |= frozenset("それで そして และ หรือ แต่ เพราะ ที่".split())
+#: fixed values: last parts that a noun of place or time may have in common with words that can't be final, and first
+#: parts that make no such noun
+PLACES, NO_NOUN = frozenset("里 裡 前 后 後 中 时 時 在".split()), frozenset("我你他她它就不也都来來看的")
+_CLOSED = FINAL | NOT_FINAL | OPENING_ON | CLOSING | OPENING_NEW
 
 
 _SPACELESS = re.compile("[\u3005\u3006\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\u0e00-\u0e7f\uf900-\ufaff\U00020000-\U000323af]+")
 
 
+_RUN_BEFORE = re.compile(r"^" + _SPACELESS.pattern)
+_THAI, _LETTER, _WORD = re.compile("[\u0e00-\u0e7f]"), re.compile(r"[^\W_]"), re.compile(r"\w+")
+_MARKED_WORD, _INITIAL = re.compile(r"[^\W\d_]*[ऀ-ॿ؀-ۿ]*"), re.compile(r"[^\W\d_]\.")
+
+
 def spaceless(ch: str) -> bool:
     """Han, kana and Thai letters (and their marks)."""
     c = ord(ch)
@@ -88,37 +106,71 @@ def thai(ch: str) -> bool:
     return 0x0E00 <= ord(ch) <= 0x0E7F
 
 
-def lattice(text: str) -> list[str]:
-    """Words of a spaceless text: the least-cost path through its word lattice."""
-    n = len(text)
-    cost, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-    for i in range(n):
-        for j in range(i + 1, min(n, i + _LONGEST) + 1):
-            word = text[i:j]
-            c = cost[i] + (1.0 if word in _LEXICON else 1.4 if j == i + 1 else float("inf"))
-            if c < cost[j]:
-                cost[j], back[j] = c, i
-    words, at = [], n
-    while at:
-        words.append(text[back[at] : at])
-        at = back[at]
-    return words[::-1]
+class Lattice:
+    """Word lattices over a dictionary: closed-class words at cost 1, content words at up to 1.3 by their rank, and
+    unknown characters at 1.4 each."""
+
+    def __init__(self, content: dict[str, int] | None = None):
+        last = math.log(2 + max((content or {"": 0}).values(), default=0))
+        self.cost = {w: 1.0 + 0.3 * math.log(2 + rank) / last for w, rank in (content or {}).items()} | dict.fromkeys(_CLOSED, 1.0)
+        self.longest = max(map(len, self.cost))
+
+    def words(self, text: str) -> list[str]:
+        """The least-cost path through the lattice of a run."""
+        n = len(text)
+        cost, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+        for i in range(n):
+            at = cost[i]
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                c = self.cost.get(text[i:j], 1.4 if j == i + 1 else math.inf)
+                if at + c < cost[j]:
+                    cost[j], back[j] = at + c, i
+        out, at = [], n
+        while at:
+            out.append(text[back[at] : at])
+            at = back[at]
+        return out[::-1]
+
+
+_lattice: dict[str | None, Lattice] = {None: Lattice()}
+
+
+def content_words(path: str) -> dict[str, int]:
+    """Words of two characters and more, all of a spaceless script, in a vocabulary file, with their ranks."""
+    out: dict[str, int] = {}
+    with open(path, "rb") as lines:
+        for token, rank in map(bytes.split, lines):
+            try:
+                word = base64.b64decode(token).decode().strip()
+            except UnicodeDecodeError:  # part of a character
+                continue
+            # a vowel sign or tone mark can't begin a word
+            if len(word) > 1 and _SPACELESS.fullmatch(word) and not unicodedata.category(word[0]).startswith("M") and not _phrase(word):
+                out.setdefault(word, int(rank))
+    return out
 
 
-def _word_before(text: str, at: int) -> str:
-    words = lattice(text[max(0, at - 16) : at])
-    return words[-1] if words else ""
+def _phrase(word: str) -> bool:
+    """An entry that ends in a final particle, another particle or a preposition and so is no word of its own."""
+    last = _lattice[None].words(word)[-1]
+    return last != word and (last in FINAL or last in CLOSING or last in NOT_FINAL and not (last in PLACES and word[0] not in NO_NOUN))
 
 
-def _word_behind(text: str, at: int) -> str:
-    words = lattice(text[at : at + 16])
-    return words[0] if words else ""
+def lattice_of(path: str | None) -> Lattice:
+    """The lattice over a vocabulary file's words, made once per Python worker; over closed-class words without a path."""
+    if path not in _lattice:
+        from pyspark import SparkFiles
+
+        shipped = SparkFiles.get(os.path.basename(path)) if SparkFiles._root_directory or SparkFiles._is_running_on_worker else path
+        _lattice[path] = Lattice(content_words(shipped if os.path.exists(shipped) else path))
+    return _lattice[path]
 
 
 class _Unit:
     """One stretch of running text: where its sentences may end."""
 
-    def __init__(self, text: str, start: int, end: int, mark: int, lowered: bool = False):
+    def __init__(self, text: str, start: int, end: int, mark: int, lowered: bool = False, words: Lattice = _lattice[None]):
+        self.words, self.known = words, (start, None)
         self.text, self.start, self.end, self.mark = text, start, end, mark
         self.lowered = lowered  # the post has no capitals, so that case tells nothing
         body = text[start:end]
@@ -207,9 +259,34 @@ class _Unit:
     def _content(self, began: int, at: int) -> bool:
         return any(c.isalnum() for c in self.text[began:at])
 
+    def _last_letter(self, at: int) -> str | None:
+        """The last letter or digit of the unit before a place; places are asked for in order, so each is seen once."""
+        since, letter = self.known
+        found = next((self.text[i] for i in range(at - 1, since - 1, -1) if self.text[i].isalnum()), letter)
+        self.known = (at, found)
+        return found
+
+    def _word_before(self, at: int) -> str:
+        run = _RUN_BEFORE.search(self.text[self.start : at][::-1])
+        return (self.words.words(run[0][::-1]) or [""])[-1] if run else ""
+
+    def _word_behind(self, at: int) -> str:
+        run = _SPACELESS.match(self.text, at, self.end)
+        return self.words.words(run[0])[0] if run else ""
+
+    def _token_before(self, at: int, began: int) -> str:
+        """What stands between white space before a place, white space in front of the place aside."""
+        j = at
+        while j > began and self.text[j - 1].isspace():
+            j -= 1
+        i = j
+        while i > began and not self.text[i - 1].isspace():
+            i -= 1
+        return self.text[i:j]
+
     def _line_break(self, a: int, b: int, began: int) -> int | None:
-        before = next((c for c in reversed(self.text[max(began, a - 40) : a]) if c.isalnum()), "x")
-        behind = next((c for c in self.text[b : min(self.end, b + 40)] if c.isalnum()), "x")
+        before, letter = self._last_letter(a) or "x", _LETTER.search(self.text, b, self.end)
+        behind = letter[0] if letter else "x"
         return a if self.dense or spaceless(before) or spaceless(behind) else None
 
     def _smiley(self, a: int, b: int, began: int) -> int | None:
@@ -222,9 +299,14 @@ class _Unit:
             return None
         if text[b] in _CLOSING and text[b] not in _PAIRS and text[b] not in "\"'" or text[b] in _JOINING or _TERMINATOR.match(text, b) or text[a - 1] in _PAIRS:
             return None
-        if not any(map(thai, text[max(began, a - 80) : a])) and not self.dense:
+        if not thai(text[a - 1]) and not self.dense and not _THAI.search(text, began, a):
             return None
-        return None if thai(text[b]) and _word_behind(text, b) in OPENING_ON else a
+        i = a
+        while i > began and text[i - 1] in ".…":
+            i -= 1
+        if i > began and (a - i > 1 or text[i:a] == "…") and thai(text[i - 1]) and thai(text[b]) and self._leads_on(i, b):
+            return None
+        return None if thai(text[b]) and self._word_behind(b) in {"ๆ", "ฯลฯ"} else a
 
     def _terminator(self, a: int, b: int, began: int) -> int | None:
         text = self.text
@@ -260,11 +342,8 @@ class _Unit:
             return None if self._goes_on(n, gap) else pos
         strong = any(c in _STRONG for c in run)
         if not strong and (len(run) > 1 or run == "…"):
-            if dense and not thai(nxt):
-                before, behind = _word_before(text, a), _word_behind(text, n)
-                if behind in OPENING_ON and not (before in FINAL and behind in NOUN_ON):
-                    return None
-                return None if before in NOT_FINAL or not spaceless(text[a - 1]) else pos
+            if dense:
+                return None if self._leads_on(a, n) else pos
             apart = a > began and text[a - 1].isspace()  # set off on both sides, it stands within a sentence
             return None if not gap or apart or self._goes_on(n, gap) else pos
         if strong:
@@ -275,16 +354,23 @@ class _Unit:
             return pos if run == "．" and dense else None
         return None if self._abbreviated(a, began, n) else pos
 
+    def _leads_on(self, a: int, n: int) -> bool:
+        """Behind an ellipsis from place a, what stands at n belongs to the same sentence of a spaceless script."""
+        before, behind = self._word_before(a), self._word_behind(n)
+        if before in NOT_FINAL or not spaceless(self.text[a - 1]) and not thai(self.text[n]):
+            return True
+        return behind in OPENING_ON and not (before in FINAL and behind in NOUN_ON) and not (before in CLOSING and behind in OPENING_NEW)
+
     def _goes_on(self, n: int, gap: bool) -> bool:
         """What follows a closing quote or an ellipsis belongs to the same sentence."""
         nxt = self.text[n]
         if nxt in _JOINING or nxt == "-":
             return True
         if nxt.islower():
-            return not self.lowered or re.match(r"\w+", self.text[n : n + 16]).group() in CONJUNCTIONS
+            return not self.lowered or _WORD.match(self.text, n, self.end)[0] in CONJUNCTIONS
         if spaceless(nxt):
-            return not thai(nxt) and _word_behind(self.text, n) in OPENING_ON
-        word = re.match(r"[^\W\d_]*[ऀ-ॿ؀-ۿ]*", self.text[n : min(self.end, n + 20)]).group()
+            return not thai(nxt) and self._word_behind(n) in OPENING_ON
+        word = _MARKED_WORD.match(self.text, n, self.end)[0]
         return word in GO_ON
 
     def _abbreviated(self, a: int, began: int, n: int) -> bool:
@@ -296,7 +382,7 @@ class _Unit:
         nxt, low = text[n], re.split("['’]", word.lower())[-1]  # an elided article may stand before it
         if not word:
             return False
-        if len(word) == 1 and word.isalpha() and (word.isupper() or self.lowered or re.match(r"[^\W\d_]\.", text[n : n + 2]) or re.search(r"(?:^|\s)[^\W\d_]\.\s+$", text[max(began, i - 6) : i])) and low not in CAPITAL:
+        if len(word) == 1 and word.isalpha() and (word.isupper() or self.lowered or _INITIAL.match(text, n, self.end) or i > began and _INITIAL.fullmatch(self._token_before(i, began))) and low not in CAPITAL:
             return True
         if low in NUMBERED and (nxt.isdigit() or len(low) == 1 and nxt.islower()):
             return True
@@ -305,9 +391,8 @@ class _Unit:
         if low in NEVER:
             return True
         if word.isdigit() and len(word) <= 2:
-            before = text[max(began, i - 24) : i].split()
-            following = re.match(r"\w*", text[n : n + 20]).group().lower()
-            return following in _MONTHS or bool(before) and before[-1].lower() in _ARTICLES and nxt.isalpha()
+            following = _WORD.match(text, n, self.end)
+            return bool(following) and following[0].lower() in _MONTHS or self._token_before(i, began).lower() in _ARTICLES and nxt.isalpha()
         return False
 
 
@@ -384,32 +469,38 @@ def _trimmed(text: str, a: int, b: int) -> tuple[int, int] | None:
     return (a, b) if a < b else None
 
 
-def segment(text: str | None) -> list[tuple[int, int]]:
+def segment(text: str | None, words: Lattice = _lattice[None]) -> list[tuple[int, int]]:
     """Ranges of the text's sentences, in order; together they cover all characters but white space."""
     out, text = [], text or ""
     units = list(_units(text))
     prose = "\n".join(_URL.sub("", _CODE.sub("", text[a:b])) for kind, a, b, _ in units if kind == "text")
     lowered = prose == prose.lower() != prose.upper()
     for kind, a, b, mark in units:
-        cuts = [a, *(_Unit(text, a, b, mark, lowered).ends() if kind == "text" else []), b]
+        cuts = [a, *(_Unit(text, a, b, mark, lowered, words).ends() if kind == "text" else []), b]
         out += [r for x, y in zip(cuts, cuts[1:]) if (r := _trimmed(text, x, y))]
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column("id"), batch.column("text")
-        index, starts, ends = [], [], []
-        for i, text in enumerate(texts.to_pylist()):
-            for a, b in segment(text):
-                index.append(i)
-                starts.append(a)
-                ends.append(b)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(index, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["id", "start_pos", "end_pos"])
+def _scanner(vocabulary: str | None):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = lattice_of(vocabulary)
+        for batch in batches:
+            ids, texts = batch.column("id"), batch.column("text")
+            index, starts, ends = [], [], []
+            for i, text in enumerate(texts.to_pylist()):
+                for a, b in segment(text, words):
+                    index.append(i)
+                    starts.append(a)
+                    ends.append(b)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(index, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["id", "start_pos", "end_pos"])
+
+    return scan
 
 
-def sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, start_pos, end_pos)``: one row per sentence of every post."""
+def sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = VOCABULARY) -> DataFrame:
+    """``(doc_id, start_pos, end_pos)``: one row per sentence of every post. ``vocabulary`` is a file of a public tokenizer."""
     ship(df.sparkSession)
+    if vocabulary:
+        df.sparkSession.sparkContext.addFile(vocabulary)
     rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_scan, f"id {dict(rows.dtypes)['id']}, start_pos bigint, end_pos bigint").withColumnRenamed("id", doc_id)
+    return rows.mapInArrow(_scanner(vocabulary), f"id {dict(rows.dtypes)['id']}, start_pos bigint, end_pos bigint").withColumnRenamed("id", doc_id)

@@ -1,7 +1,8 @@
 import random
 
 import pytest
-from graphloom.llm.sentences import lattice, segment, sentences
+from graphloom.llm import sentences
+from graphloom.llm.sentences import VOCABULARY, Lattice, lattice_of, segment
 
 CASES = {
     "abbreviations": ("Dr. Oakes of Hill Inc. said so, e.g. on p. 12. It costs 3.50 approx. as in fig. 2. Done.", 3),
@@ -75,13 +76,46 @@ def test_long_text_in_linear_time():
 
 
 def test_lattice_prefers_known_words():
-    assert lattice("动了以后") == ["动", "了", "以后"]
-    assert "".join(lattice("ですから終わり")) == "ですから終わり" and lattice("") == []
+    assert Lattice().words("动了以后") == ["动", "了", "以后"]
+    assert "".join(Lattice().words("ですから終わり")) == "ですから終わり" and Lattice().words("") == []
 
 
 def test_table(spark):
     rows = [(1, "A b. C d."), (2, None), (3, ""), (4, " \n "), (None, "X."), (1, "A b. C d.")]
     df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id bigint, text string, start_pos int, id int")
-    out = sorted((r.doc_id is None, r.doc_id, r.start_pos, r.end_pos) for r in sentences(df).collect())
+    out = sorted((r.doc_id is None, r.doc_id, r.start_pos, r.end_pos) for r in sentences.sentences(df).collect())
     assert out == [(False, 1, 0, 4), (False, 1, 0, 4), (False, 1, 5, 9), (False, 1, 5, 9), (True, None, 0, 2)]
-    assert sentences(df.limit(0)).count() == 0
+    assert sentences.sentences(df.limit(0)).count() == 0
+
+
+def cut(text, words=None):
+    return [text[a:b] for a, b in (segment(text, words) if words else segment(text))]
+
+
+@pytest.mark.parametrize("text", ["这样可以吗……然后重启。", "直ります……それで再起動します。", "ได้ครับ… แต่ช้ามาก"])
+def test_final_particles_decide(text, monkeypatch):
+    words = lattice_of(VOCABULARY)
+    assert len(cut(text, words)) == 2
+    monkeypatch.setattr(sentences, "FINAL", frozenset())
+    monkeypatch.setattr(sentences, "CLOSING", frozenset())
+    assert cut(text, words) == [text]
+
+
+@pytest.mark.parametrize("text", ["先放在这里……重启。", "試した所……もう一度やる。"])
+def test_the_dictionary_decides(text):
+    assert len(cut(text, lattice_of(VOCABULARY))) == 2 and cut(text) == [text]
+
+
+def test_words_that_lead_on():
+    words = lattice_of(VOCABULARY)
+    for text in ("我试了一下……然后重启。", "これは……動かない。", "試して……それで直した。", "ช้า… แต่ดีมาก", "ช้าและ… ดีมาก"):
+        assert cut(text, words) == [text]
+    assert cut("ช้า… ดีมาก", words) == ["ช้า…", "ดีมาก"]
+    assert "我在" not in words.cost and words.words("现在这里") == ["现在", "这里"]
+
+
+def test_looks_reach_to_the_bounds_of_the_unit():
+    assert cut("请看" + "=" * 90 + "\n" + "-" * 90 + "重启") == ["请看" + "=" * 90, "-" * 90 + "重启"]
+    wide = "one " + "= " * 60 + "\n" + "= " * 60 + "two"
+    assert cut(wide) == [wide]
+    assert cut("Es begann am" + " " * 40 + "3. Tag der Woche und endete.") == ["Es begann am" + " " * 40 + "3. Tag der Woche und endete."]
