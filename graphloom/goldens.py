@@ -613,3 +613,73 @@ def asked(spark: SparkSession) -> DataFrame:
         text = response["result"]["content"][0]["text"]
         rows.append((response["id"], ANSWERS[response["id"]][0], told(text.removeprefix("Error: ") if text.startswith("Error: ") else json.loads(text))))
     return spark.createDataFrame(rows, "request bigint, tool string, answer string")
+
+
+# ---------------------------------------------------------------- a build of the project, from files to answers
+
+#: files beside ``PROJECT`` that a build has to leave out or count
+BESIDE = {"tools/knot.rb": "puts 1\n", "vendor/lib/far.go": "package lib\n\nfunc Far() {}\n", "dock/made.gen.py": "def made(): pass\n", "Makefile": "all:\n", ".gitignore": "# made\n*.gen.py\n\n"}
+
+#: what a build and the command line say about it
+BUILT = [
+    ("functions", "11"), ("files", "8"), ("edges", "9"), ("errors", "0"), ("languages", "go java typescript python"), ("coverage", "full 9, inferred 2"), ("skipped", ".gitignore 1, .rb 1"), ("stored functions", "11"), ("stored edges", "9"),
+    ("nodes with the graph's own", "12"), ("recorded", "11 functions in 8 files: go java python typescript"), ("config", "version 1: go java typescript python; vendor node_modules .git __pycache__ dist build"), ("scope net", "4 functions in 3 files"), ("only python", "3 functions in 2 files"), ("rebuilt", "11 functions, 9 edges"),
+    ("query callers tie", "dock/board | dock/crew.py:4-6  [inferred]"), ("query domains", "dock 7 functions | net 4 functions"), ("query coupling", "net -> dock  (1 edges)"), ("query exports nowhere", "No results."), ("query contract trim", "dock/trim | dock/rope.py:5-6 | Completeness: full"),
+    ("query mismatches", "dock/Port.warn | dock/Port.java:5  open takes 1 to 1, given 2"), ("pattern", '{"a.name": "TestCast"}'), ("parse", "sail hoist: 3-6"), ("data shape of trim", "rope: str"),
+]
+
+
+def built(spark: SparkSession) -> DataFrame:
+    """A build of the project in the shared folder, its stored tables, and the command line over them."""
+    import contextlib
+    import io
+    import json
+    import os
+    import shutil
+    import uuid
+
+    from graphloom import config
+    from graphloom.graph import CodeGraph
+    from graphloom.plans.build import Options, build
+    from graphloom.service import cli
+    from graphloom.storage import shared_dir
+
+    root = f"{shared_dir(spark).removeprefix('file://')}/graphloom/project-{uuid.uuid4().hex}"
+    for path, text in (PROJECT | BESIDE).items():
+        os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+        with open(f"{root}/{path}", "w", encoding="utf-8") as f:
+            f.write(text)
+
+    def said(*args: str) -> str:
+        out = io.StringIO()
+        cli.main(["--root", root, *args], spark, out)
+        lines = [" ".join(x.split()) if args[-1] == "domains" else x.strip() for x in out.getvalue().splitlines()]
+        return " | ".join(x for x in lines if not x.startswith("Contract:"))
+
+    try:
+        graph, r = build(spark, Options(root))
+        meta, made = graph.meta.first(), config.load(root)
+        names = graph.functions.where("name = 'trim'").select(F.col("node_id").alias("dst"))
+        shape = graph.edges.join(names, "dst").first().data_shape
+        rows = [
+            ("functions", r.function_count), ("files", r.file_count), ("edges", r.edge_count), ("errors", r.errors), ("languages", " ".join(r.languages)), ("coverage", ", ".join(f"{k} {n}" for k, n in sorted(r.coverage.items()))),
+            ("skipped", ", ".join(f"{k} {n}" for k, n in sorted(r.skipped.items()))), ("stored functions", graph.functions.count()), ("stored edges", graph.edge_count()), ("nodes with the graph's own", graph.node_count()),
+            ("recorded", f"{meta.function_count} functions in {meta.file_count} files: {' '.join(meta.languages)}"), ("config", f"version {made.version}: {' '.join(made.languages)}; {' '.join(made.exclude)}"),
+            ("query callers tie", said("query", "callers", "tie")), ("query domains", said("query", "domains")), ("query coupling", said("query", "coupling")), ("query exports nowhere", said("query", "exports", "nowhere")), ("query contract trim", said("query", "contract", "trim")),
+            ("query mismatches", said("query", "mismatches")), ("pattern", said("pattern", "MATCH (a)-[:CALLS]->(b {name: 'Cast'}) RETURN a.name")), ("data shape of trim", ", ".join(f"{k}: {v}" for k, v in shape.items())),
+        ]
+        parsed = io.StringIO()
+        with contextlib.redirect_stderr(io.StringIO()):
+            cli.main(["--root", root, "parse", f"{root}/dock/sail.ts"], spark, parsed)
+        records = json.loads(parsed.getvalue())
+        rows.append(("parse", f"{records[0]['name']} hoist: {records[0]['start_line']}-{records[0]['end_line']}"))
+        _, few = build(spark, Options(root, scope="net", out=f"{root}/net_only"))
+        rows.append(("scope net", f"{few.function_count} functions in {few.file_count} files"))
+        config.write(root, config.Config(languages=["python"]))
+        _, few = build(spark, Options(root, out=f"{root}/python_only", configured_languages=True))
+        rows.append(("only python", f"{few.function_count} functions in {few.file_count} files"))
+        _, again = build(spark, Options(root))
+        rows.append(("rebuilt", f"{CodeGraph.load(spark, again.graph_path).functions.count()} functions, {again.edge_count} edges"))
+        return spark.createDataFrame([(k, str(v)) for k, v in rows], "what string, value string")
+    finally:
+        shutil.rmtree(root, ignore_errors=True)

@@ -594,3 +594,8 @@ def golden_breaks(spark, d):
 @query("golden_tools", goldens.values_sql([(i, name, answer) for i, (name, _, answer) in enumerate(goldens.ANSWERS)], ("request", "tool", "answer")))
 def golden_tools(spark, d):
     return goldens.asked(spark)
+
+
+@query("golden_build", goldens.values_sql(goldens.BUILT, ("what", "value")))
+def golden_build(spark, d):
+    return goldens.built(spark)
