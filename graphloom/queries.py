@@ -213,13 +213,14 @@ def code_graph(spark, d) -> CodeGraph:
     qualified name, the last function of a name counting. Whole tables, parallel edges kept."""
     rows = table(spark, d, "functions").where(F.col("fn_id").isNotNull())
     columns = [c for c in rows.columns if c != "fn_id"]
-    fn = rows.groupBy("fn_id").agg(F.max_by(F.struct(*columns), F.struct("loaded_at", "collected_at")).alias("r")).select(F.col("fn_id").alias("node_id"), "r.*")
+    # one aggregate a column, all over the same rank: those that a query doesn't name are pruned down to the scan
+    fn = rows.groupBy(F.col("fn_id").alias("node_id")).agg(*[F.max_by(c, F.struct("loaded_at", "collected_at")).alias(c) for c in columns])
     ids = fn.groupBy("repo_id", "build_no", "qualified_name").agg(F.max("node_id").alias("id"))
     calls = table(spark, d, "call_edges").where(F.col("call_id").isNotNull()).select("call_id", "repo_id", "build_no", "caller_qualified", "callee_qualified", "label", "loaded_at", "seen_at")
-    once = calls.groupBy("call_id").agg(F.max_by(F.struct("repo_id", "build_no", "caller_qualified", "callee_qualified", "label"), F.struct("loaded_at", "seen_at")).alias("r"))
+    kept = ["repo_id", "build_no", "caller_qualified", "callee_qualified", "label"]
+    once = calls.groupBy(F.col("call_id").alias("edge_id")).agg(*[F.max_by(c, F.struct("loaded_at", "seen_at")).alias(c) for c in kept])
     edges = (
-        once.select(F.col("call_id").alias("edge_id"), "r.*")
-        .join(ids.select("repo_id", "build_no", F.col("qualified_name").alias("caller_qualified"), F.col("id").alias("src")), ["repo_id", "build_no", "caller_qualified"])
+        once.join(ids.select("repo_id", "build_no", F.col("qualified_name").alias("caller_qualified"), F.col("id").alias("src")), ["repo_id", "build_no", "caller_qualified"])
         .join(ids.select("repo_id", "build_no", F.col("qualified_name").alias("callee_qualified"), F.col("id").alias("dst")), ["repo_id", "build_no", "callee_qualified"])
         .select("edge_id", "src", "dst", "label")
     )
