@@ -92,6 +92,8 @@ _SPACELESS = re.compile("[\u3005\u3006\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\u0
 
 
 _RUN_BEFORE = re.compile(r"^" + _SPACELESS.pattern)
+_THAI_SPACE, _VISIBLE = re.compile(r"(?<=[฀-๿]) +|(?<=\S) +(?=[฀-๿])"), re.compile(r"\S")
+_NESTING = re.compile("[" + re.escape("".join(sorted(set(_PAIRS) | _CLOSING))) + "]")
 _THAI, _LETTER, _WORD = re.compile("[\u0e00-\u0e7f]"), re.compile(r"[^\W_]"), re.compile(r"\w+")
 _MARKED_WORD, _INITIAL = re.compile(r"[^\W\d_]*[ऀ-ॿ؀-ۿ]*"), re.compile(r"[^\W\d_]\.")
 
@@ -174,14 +176,15 @@ class _Unit:
         self.text, self.start, self.end, self.mark = text, start, end, mark
         self.lowered = lowered  # the post has no capitals, so that case tells nothing
         body = text[start:end]
-        self.masked = [(start + m.start(), start + m.start() + len(m.group().rstrip(".,!?;:'\")]"))) for m in _URL.finditer(body)]
-        self.masked += [(start + m.start(), start + m.end()) for m in _CODE.finditer(body)]
+        self.masked = [(start + m.start(), start + m.start() + len(m.group().rstrip(".,!?;:'\")]"))) for m in _URL.finditer(body)] if "://" in body else []
+        if "`" in body:
+            self.masked += [(start + m.start(), start + m.end()) for m in _CODE.finditer(body)]
         self.smileys = {start + m.start(): start + m.end() for m in _SMILEY.finditer(body) if m.start() == 0 or body[m.start() - 1].isspace()}
         self.masked += list(self.smileys.items())
         self.masked.sort()
         self.from_ = [a for a, _ in self.masked]
         self.spans = self._nesting()
-        dense = "".join(_SPACELESS.findall(body))
+        dense = "" if body.isascii() else "".join(_SPACELESS.findall(body))
         self.dense = bool(dense) and sum(map(str.isalpha, dense)) * 2 > sum(map(str.isalpha, body))
 
     def is_masked(self, at: int) -> bool:
@@ -191,9 +194,9 @@ class _Unit:
     def _nesting(self) -> list[tuple[int, int]]:
         """Outermost (opening, closing) places of quotes and brackets that are closed within the unit."""
         text, stack, found, straight = self.text, [], [], None
-        for i in range(max(self.start, self.mark), self.end):
-            c = text[i]
-            if c not in _PAIRS and c not in _CLOSING or self.is_masked(i):
+        for m in _NESTING.finditer(text, max(self.start, self.mark), self.end):
+            i, c = m.start(), m[0]
+            if self.masked and self.is_masked(i):
                 continue
             before = text[i - 1] if i > self.start else " "
             behind = text[i + 1] if i + 1 < self.end else " "
@@ -238,15 +241,18 @@ class _Unit:
     def ends(self) -> list[int]:
         """Places behind the last character of each sentence but the last."""
         text, out, began = self.text, [], self.mark
-        gaps = [(m.start() + self.start, m.end() + self.start, "t") for m in _TERMINATOR.finditer(text[self.start : self.end]) if m.start() + self.start >= self.mark]
-        gaps += [(m.start() + self.start, m.end() + self.start, "n") for m in _BREAK.finditer(text[self.start : self.end])]
-        gaps += [(b, b, "s") for _, b in self.smileys.items()]
-        gaps += [(m.start() + self.start, m.end() + self.start, "w") for m in re.finditer(r"(?<=[฀-๿]) +|(?<=\S) +(?=[฀-๿])", text[self.start : self.end]) if m.start() + self.start >= self.mark]
+        low = max(self.start, self.mark)
+        gaps = [(m.start(), m.end(), "t") for m in _TERMINATOR.finditer(text, low, self.end)]
+        gaps += [(m.start(), m.end(), "n") for m in _BREAK.finditer(text, self.start, self.end)]
+        gaps += [(b, b, "s") for b in self.smileys.values()]
+        if _THAI.search(text, self.start, self.end):
+            gaps += [(m.start() + self.start, m.end() + self.start, "w") for m in _THAI_SPACE.finditer(text[self.start : self.end]) if m.start() + self.start >= self.mark]
+        classify = {"t": self._terminator, "n": self._line_break, "s": self._smiley, "w": self._thai_space}
         for a, b, kind in sorted(gaps):
             if a < began:
                 continue
-            end = {"t": self._terminator, "n": self._line_break, "s": self._smiley, "w": self._thai_space}[kind](a, b, began)
-            if end is not None and text[end : self.end].strip():
+            end = classify[kind](a, b, began)
+            if end is not None and _VISIBLE.search(text, end, self.end):
                 out.append(end)
                 began = end
         return out
@@ -439,7 +445,7 @@ def _units(text: str) -> Iterator[tuple[str, int, int, int]]:
             if numbered and open_ and int(numbered[1]) != 1 and (last_number is None or int(numbered[1]) <= last_number):
                 numbered = None
             mark = _QUOTED.match(line) or _BULLET.match(line) or numbered
-            lone = _URL.match(line.strip()) and not re.search(r"\s", line.strip()) and _URL.match(line.strip()).end() == len(line.strip())
+            lone = "://" in line and _URL.match(line.strip()) and not re.search(r"\s", line.strip()) and _URL.match(line.strip()).end() == len(line.strip())
             if mark:
                 if open_:
                     yield ("text", *open_)
@@ -473,7 +479,9 @@ def segment(text: str | None, words: Lattice = _lattice[None]) -> list[tuple[int
     """Ranges of the text's sentences, in order; together they cover all characters but white space."""
     out, text = [], text or ""
     units = list(_units(text))
-    prose = "\n".join(_URL.sub("", _CODE.sub("", text[a:b])) for kind, a, b, _ in units if kind == "text")
+    prose = "\n".join(text[a:b] for kind, a, b, _ in units if kind == "text")
+    if "`" in prose or "://" in prose:
+        prose = "\n".join(_URL.sub("", _CODE.sub("", text[a:b])) for kind, a, b, _ in units if kind == "text")
     lowered = prose == prose.lower() != prose.upper()
     for kind, a, b, mark in units:
         cuts = [a, *(_Unit(text, a, b, mark, lowered, words).ends() if kind == "text" else []), b]
