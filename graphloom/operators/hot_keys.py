@@ -15,8 +15,11 @@ _SPAN = "18446744073709551616"  # 2^64, more than any id distance
 _HALF = "9223372036854775808"  # 2^63, lifts ids to non-negative
 
 
-def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+def micros(ts: Column, zoned: bool = False) -> Column:
+    """Microseconds since 1970: of a timestamp without zone by its own clock, whatever the session's zone; of a zoned one
+    by its instant, so that an hour the clocks repeat keeps its order."""
+    if zoned:
+        return F.unix_micros(ts)
     day = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
     hours, minutes = F.hour(ts).cast("long"), F.minute(ts).cast("long")
     seconds = (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
@@ -40,7 +43,7 @@ def latest_per_key(df: DataFrame, keys: list[str], at: str, row_id: str) -> Data
 
     Rows with a null time, id or last key column don't count; nulls in the other key columns are one key."""
     rows = df.where(F.col(at).isNotNull() & F.col(row_id).isNotNull() & F.col(keys[-1]).isNotNull())
-    best = rows.groupBy(*keys).agg(F.max(ranked(micros(F.col(at)), F.col(row_id))).alias("_rank"))
+    best = rows.groupBy(*keys).agg(F.max(ranked(micros(F.col(at), dict(df.dtypes)[at] == "timestamp"), F.col(row_id))).alias("_rank"))
     return best.select(*keys, ranked_id(F.col("_rank")).alias("row_id"))
 
 

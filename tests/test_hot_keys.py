@@ -42,3 +42,15 @@ def test_profile(spark):
 
 def test_empty(spark):
     assert latest_per_key(frame(spark, []), ["build", "name"], "at", "id").count() == 0
+
+
+def test_an_hour_that_clocks_repeat(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        rows = [(1, "a", "2024-10-27T00:50:00Z"), (2, "a", "2024-10-27T01:10:00Z")]  # 2:50 summer time, then 2:10 winter time
+        df = spark.createDataFrame(rows, "id bigint, k string, at string").selectExpr("id", "1 as g", "k", "cast(at as timestamp) as at", "cast(cast(at as timestamp) as timestamp_ntz) as clock")
+        assert latest_per_key(df, ["g", "k"], "at", "id").first().row_id == 2
+        assert latest_per_key(df, ["g", "k"], "clock", "id").first().row_id == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
