@@ -25,6 +25,7 @@ import math
 import os
 import re
 import unicodedata
+import warnings
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -506,8 +507,12 @@ def _scanner(vocabulary: str | None):
 
 
 def sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = VOCABULARY) -> DataFrame:
-    """``(doc_id, start_pos, end_pos)``: one row per sentence of every post. ``vocabulary`` is a file of a public tokenizer."""
+    """``(doc_id, start_pos, end_pos)``: one row per sentence of every post. ``vocabulary`` is a file of a public tokenizer;
+    without one (None, or a warning where it is missing) the dictionary is the closed-class words."""
     ship(df.sparkSession)
+    if vocabulary and not os.path.exists(vocabulary):
+        warnings.warn(f"no vocabulary at {vocabulary}: the word lattice has closed-class words only", stacklevel=2)
+        vocabulary = None
     if vocabulary:
         df.sparkSession.sparkContext.addFile(vocabulary)
     rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))

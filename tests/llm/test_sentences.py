@@ -119,3 +119,10 @@ def test_looks_reach_to_the_bounds_of_the_unit():
     wide = "one " + "= " * 60 + "\n" + "= " * 60 + "two"
     assert cut(wide) == [wide]
     assert cut("Es begann am" + " " * 40 + "3. Tag der Woche und endete.") == ["Es begann am" + " " * 40 + "3. Tag der Woche und endete."]
+
+
+def test_a_missing_vocabulary_leaves_closed_class_words(spark):
+    df = spark.createDataFrame([(1, "先放在这里……重启。")], "doc_id bigint, text string")
+    with pytest.warns(UserWarning, match="no vocabulary"):
+        few = sentences.sentences(df, vocabulary="/nowhere/words.tiktoken")
+    assert few.count() == 1 and sentences.sentences(df).count() == 2
